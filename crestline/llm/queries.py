@@ -8,17 +8,55 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .mixing import mix
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": r"""
+        WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
+        weighed AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight FROM totals),
+        ratios AS (SELECT *, 2 * source_size AS cap, CAST(2 * source_size AS DOUBLE) / weight AS ratio FROM weighed),
+        levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 150 / 100.0 - CAST(sum(cap) OVER b - cap AS DOUBLE)) / CAST(sum(weight) OVER () - sum(weight) OVER b + weight AS DOUBLE) AS level
+                   FROM ratios WINDOW b AS (ORDER BY ratio, source ASC NULLS LAST ROWS UNBOUNDED PRECEDING)),
+        first_open AS (SELECT level AS common FROM levels WHERE ratio > level ORDER BY ratio, source LIMIT 1),
+        targets AS (SELECT source, source_size, CASE WHEN ratio > level THEN weight * (SELECT common FROM first_open) ELSE CAST(cap AS DOUBLE) END AS target FROM levels),
+        block AS (SELECT greatest(1, least(4096, min(source_size) FILTER (source_size > 0) // 1024)) AS b FROM targets),
+        seats AS (SELECT source, target, unnest(range(1, CAST(ceil(target / (SELECT b FROM block)) AS BIGINT) + 60)) AS seat FROM targets),
+        won AS (SELECT source, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source ASC NULLS LAST) AS r FROM seats WHERE target > 0),
+        quotas AS (SELECT source, count(*) AS quota FROM won WHERE r <= (SELECT round(sum(target) / (SELECT b FROM block)) FROM targets) GROUP BY source),
+        shards AS (SELECT t.*, coalesce(quota, 0) AS quota, greatest(1, CAST(ceil(source_size / 4194304) AS BIGINT)) AS n_shards FROM targets t LEFT JOIN quotas q ON t.source IS NOT DISTINCT FROM q.source),
+        placed AS (SELECT s.doc_id, s.source, s.size, h.source_size, h.target, h.quota, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place,
+                          CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 7) AS BIGINT) % n_shards AS shard
+                   FROM sizes s JOIN shards h ON s.source IS NOT DISTINCT FROM h.source),
+        shard_sizes AS (SELECT source, shard, any_value(quota) AS quota, CAST(sum(size) AS BIGINT) AS shard_size FROM placed GROUP BY source, shard),
+        shard_seats AS (SELECT source, shard, quota, shard_size, unnest(range(1, 2 * CAST(ceil(shard_size / (SELECT b FROM block)) AS BIGINT) + 60)) AS seat FROM shard_sizes WHERE shard_size > 0),
+        shard_won AS (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * seat - 1) DESC, shard) AS r FROM shard_seats),
+        shard_quotas AS (SELECT source, shard, count(*) AS won FROM shard_won WHERE r <= quota GROUP BY source, shard),
+        runs AS (SELECT z.source, z.shard, z.shard_size, least(coalesce(won, 0) * b, 2 * z.shard_size) AS words,
+                        b * (CAST('0x' || substr(md5('mix-1:start:' || coalesce(z.source, 'null') || ':' || z.shard), 1, 7) AS BIGINT) % greatest(1, CAST(ceil(z.shard_size / b) AS BIGINT))) AS start
+                 FROM shard_sizes z CROSS JOIN block LEFT JOIN shard_quotas w ON z.source IS NOT DISTINCT FROM w.source AND z.shard = w.shard),
+        bounds AS (SELECT p.*, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS high FROM placed p),
+        cut AS (SELECT x.doc_id, x.size, x.source_size, x.target, x.high, x.high - x.size AS low, r.shard_size, r.start, r.words,
+                       CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes, start + CASE WHEN shard_size > 0 THEN words % shard_size ELSE 0 END AS stop
+                FROM bounds x JOIN runs r ON x.source IS NOT DISTINCT FROM r.source AND x.shard = r.shard)
+        SELECT doc_id, size, source_size, target,
+               CAST(passes * size + greatest(0, least(high, stop, shard_size) - greatest(low, start)) + greatest(0, least(high, stop - shard_size) - low) AS BIGINT) AS taken
+        FROM cut
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm,
