@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .decontaminate import leaks
 from .exact_dedup import exact_duplicates
+from .langid import fit as fit_languages
+from .langid import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = fit_languages(docs.where(~out))
+    return identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "doc_word", "item_words", "matched", "best", "needed")
@@ -32,6 +42,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
