@@ -14,6 +14,7 @@ from .langid import fit as fit_languages
 from .langid import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .pii import counted, find_pii, listed
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "doc_word", "item_words", "matched", "best", "needed")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[counted(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+        counted(spans, "iban").alias("n_iban"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
@@ -81,6 +95,28 @@ ORACLE_SQL: dict[str, str] = {
                CAST(passes * size + greatest(0, least(high, stop, shard_size) - greatest(low, start)) + greatest(0, least(high, stop - shard_size) - low) AS BIGINT) AS taken
         FROM cut
     """,
+    "op8_pii": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS (
+            SELECT r, 0 AS k, 'email' AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS vs, list_transform(string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), lambda g: len(g)) AS gaps FROM t
+            UNION ALL
+            SELECT r, 1 AS k, 'ip' AS kind, regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS vs, list_transform(string_split_regex(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda g: len(g)) AS gaps FROM t
+            UNION ALL
+            SELECT r, 2 AS k, 'card' AS kind, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+') AS vs, list_transform(string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+'), lambda g: len(g)) AS gaps FROM t
+            UNION ALL
+            SELECT r, 3 AS k, 'phone' AS kind, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') AS vs, list_transform(string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda g: len(g)) AS gaps FROM t),
+        p AS (SELECT r, k, kind, unnest(vs) AS v, unnest(range(1, len(vs) + 1)) AS i, gaps, list_transform(vs, lambda x: len(x)) AS ls FROM m WHERE len(vs) > 0),
+        s AS (SELECT r, k, kind, v, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(ls[1:i - 1]), 0) AS BIGINT) AS a FROM p),
+        ok AS (SELECT r, k, kind, a, a + len(v) AS b FROM s WHERE CASE kind
+            WHEN 'email' THEN true
+            WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(right(p, 4) AS INT), 999) > 255)) = 0
+            WHEN 'card' THEN len(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, len(regexp_replace(v, '[^0-9]', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i] AS INT) WHEN CAST(reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i] AS INT) > 4 THEN 2 * CAST(reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i] AS INT) - 9 ELSE 2 * CAST(reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i] AS INT) END)) % 10 = 0
+            WHEN 'phone' THEN len(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 10 AND 15
+            END),
+        g AS (SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS l, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS p, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS f FROM ok GROUP BY r)
+        SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(p, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(f, 0) AS n_phone, sha256(coalesce(l, '')) AS base_sha256, coalesce(l, '') AS spans, CAST(0 AS BIGINT) AS n_iban
+        FROM t LEFT JOIN g USING (r)
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm,
