@@ -15,6 +15,8 @@ from .langid import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import counted, find_pii, listed
+from .quality import fit as fit_quality
+from .quality import score as score_quality
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = fit_quality(docs.where(~out), labels.where(~out))
+    return score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
