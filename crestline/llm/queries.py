@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .class_lm import score_texts
 from .common import held_out, table
 from .decontaminate import leaks
 from .exact_dedup import exact_duplicates
@@ -31,6 +32,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "doc_word", "item_words", "matched", "best", "needed")
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 7, 2)
+    return score_texts(table(spark, sf_dir, "documents"), ~out).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     spans = F.col("spans")
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_class_lm": op7_class_lm,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
