@@ -13,6 +13,7 @@ from .decontaminate import leaks
 from .exact_dedup import exact_duplicates
 from .langid import fit as fit_languages
 from .langid import identify
+from .main_text import extract
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import counted, find_pii, listed
@@ -20,6 +21,10 @@ from .quality import fit as fit_quality
 from .quality import score as score_quality
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 3, 1)
@@ -71,6 +76,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
+    "op4_main_text": op4_main_text,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_class_lm": op7_class_lm,
