@@ -19,6 +19,29 @@ from .near_dedup import near_duplicates
 from .pii import counted, find_pii, listed
 from .quality import fit as fit_quality
 from .quality import score as score_quality
+from .token_counts import count_edited, read_ranks
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = fit_quality(docs.where(~out), labels.where(~out))
+    return score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and after two edits of each: a cut at a third of it and a note put in at two thirds."""
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    third = F.floor(n / 3)
+    edits = F.array(
+        F.struct(third.alias("start"), F.least(F.lit(16), n - third).cast("long").alias("length"), F.lit("").alias("inserted")),
+        F.struct(F.floor(2 * n / 3).alias("start"), F.lit(0).cast("long").alias("length"), F.lit(" [edited]").alias("inserted")),
+    )
+    return count_edited(table(spark, sf_dir, "documents"), edits, read_ranks()).drop("leaf_chars", "leaf_tokens")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,23 +81,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = held_out(F.col("doc_id"), 3, 1)
-    model = fit_quality(docs.where(~out), labels.where(~out))
-    return score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
-
-
-def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
-
-
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_main_text": op4_main_text,
     "op5_language": op5_language,
