@@ -1,0 +1 @@
+"""Ranked join analytics on PySpark."""
