@@ -76,7 +76,7 @@ def theta_edge(left: DataFrame, right: DataFrame, key: list[str], a: str, op: st
 def ordered_view(df: DataFrame, key: list[str], by: str, descending: bool = False, name: str = "rn") -> DataFrame:
     """Rows numbered under each key by one column (ties by all other columns)."""
     rest = [c for c in df.columns if c not in (*key, by)]
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by) if descending else F.asc(by), *rest)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by) if descending else F.asc(by), *rest)).cast("long"))
 
 
 def systematic_sample(df: DataFrame, step: int = 100, rank: str = "rn") -> DataFrame:
