@@ -27,6 +27,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row as one column ``row`` beside ``keys``, so that no column name of ``docs`` can clash; ``row.*`` unpacks it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again.
 

@@ -7,10 +7,11 @@ hit's offset and compared word by word; an overlap is confirmed where some
 window of ``window`` words (the whole item if it is shorter) agrees in at least
 ``percent`` of its places, so substituted words do not hide a leak.
 
-The two default masks find every window that qualifies: among 16 words with at
-most three substitutions two neighbouring runs have seven or more matching
-words together, and these hold either five in a row or three, a gap and two
-(see the tests, which try all patterns).
+The two default masks find every window of 12 words or more that qualifies:
+among 16 words with at most three substitutions two neighbouring runs have
+seven or more matching words together, and these hold either five in a row or
+three, a gap and two (the tests try all patterns). Items of fewer than 12 words
+can be missed when two of their words are replaced in the worst places.
 
 The benchmark is small next to the corpus, so its hashes and texts are
 broadcast when their measured size is below ``broadcast_bytes``; beyond it the
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, stored
 
 MASKS = ("11111", "111011")
 WINDOW = 16
@@ -118,7 +119,7 @@ def leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a confirmed overlap, with all their columns."""
-    found = stored(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leak-found")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = stored(leaks(docs, benchmark, **options).select("doc_id", "text_hash").distinct(), "leak-found")
+    keyed = packed(docs, id=F.col(options.get("id_col", "doc_id")), hash=F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit(""))))
     small = _small(found, 32, options.get("broadcast_bytes", BROADCAST_BYTES))
-    return keyed.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").select(*docs.columns)
+    return keyed.join(small, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, stored
+from .common import joined_hot, packed, stored
 
 PREFIX_CHARS = 64
 _SPACE = " \t\n\x0b\x0c\r"
@@ -61,15 +61,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     marked = exact_duplicates(docs, id_col, text_col)
-    again = stored(
-        marked.groupBy(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_rows"), F.max("kept").alias("_kept")).where("_kept").select("_id", "_n", "_sha", (F.col("_rows") > 1).alias("_many")),
-        "exact-kept",
-    )
+    keys = ["doc_id", "n_chars", "text_sha256"]
+    stay = stored(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.max("kept").alias("kept")).where("kept").drop("kept"), "exact-kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "").cast("binary"), 256)
-    keyed = docs.withColumns({"_i": F.col(id_col), "_c": F.length(text).cast("long"), "_s": sha})
-    hit = keyed.join(again, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_n")) & (F.col("_s") == F.col("_sha")))
-    once = hit.where("not _many").select(*docs.columns)
+    keyed = packed(docs, id=F.col(id_col), chars=F.length(text).cast("long"), sha=sha)
+    hit = keyed.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("chars") == F.col("n_chars")) & (F.col("sha") == F.col("text_sha256")))
     # rows that repeat an id and a text: one of each stays
-    many = hit.where("_many").dropDuplicates(["_i", "_c", "_s"]).select(*docs.columns)
-    return once.unionByName(many)
+    many = hit.where("copies > 1").dropDuplicates(["id", "chars", "sha"])
+    return hit.where("copies = 1").select("row.*").unionByName(many.select("row.*"))

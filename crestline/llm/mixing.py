@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_hot, stored, word_count
+from .common import packed, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -133,15 +133,13 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken`` beside their columns.
+    """The documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken`` beside their columns (in place of columns of these names).
 
     Rows that repeat an id and a text share what they give evenly.
     """
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keys = ["_id", "_text"]
-    dealt = mix(docs, extra={"_text": text}, **options).withColumnRenamed("doc_id", "_id")
-    dealt = dealt.groupBy(*keys).agg(F.first("size").alias("_size"), F.first("source_size").alias("_source_size"), F.first("target").alias("_target"), F.floor(F.avg("taken")).alias("_taken")).where("_taken > 0")
     names = ["size", "source_size", "target", "taken"]
-    plain = [c for c in docs.columns if c not in names]
-    left = docs.withColumn("_t", text)
-    return left.join(dealt, left["doc_id"].eqNullSafe(dealt["_id"]) & (left["_t"] == dealt["_text"])).select(*[left[c] for c in plain], *[F.col(f"_{n}").alias(n) for n in names])
+    dealt = mix(docs, extra={"text_hash": text}, **options).groupBy("doc_id", "text_hash").agg(*[F.first(n).alias(n) for n in names[:3]], F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
+    keyed = packed(docs, id=F.col("doc_id"), hash=text)
+    plain = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in names]
+    return keyed.join(dealt, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select(*plain, *names)

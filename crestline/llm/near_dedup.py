@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, stored
+from .common import joined_hot, packed, stored
 from .components import components
 from .textvec import distinct, keyed, mix, row_reduce, shingles, slices, word_hashes
 
@@ -227,9 +227,10 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
     found = near_duplicates(docs, **options)
-    stays = stored(found.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("component_id")).agg(F.min("text_hash").alias("_hash"), F.count(F.lit(1)).alias("_rows")).select("_id", "_hash", "_rows"), "near-kept")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    hit = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    # rows that repeat an id and a text: one of each stays
-    many = hit.where("_rows > 1").dropDuplicates(["_id", "_hash"])
-    return hit.where("_rows = 1").select(*docs.columns).unionByName(many.select(*docs.columns))
+    text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
+    stay = stored(found.where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows")), "near-kept")
+    keyed = packed(docs, id=F.col(id_col), hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    hit = keyed.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    # rows that share an id and a component: the one with the least text hash stays, once
+    many = hit.where("rows > 1").dropDuplicates(["id", "hash"])
+    return hit.where("rows = 1").select("row.*").unionByName(many.select("row.*"))

@@ -1,0 +1,330 @@
+"""Models and extractors: against brute force, exact round trips and held-out accuracy."""
+
+import html
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from nasty import LABELS, nasty_rows
+from pyspark.sql import functions as F
+
+from crestline.llm.class_lm import exchange, score_texts
+from crestline.llm.common import held_out
+from crestline.llm.langid import codewords, fit, identify, keep_identified
+from crestline.llm.main_text import extract, main_text, trained
+from crestline.llm.page_blocks import blocks
+from crestline.llm.page_training import labelled_pages
+from crestline.llm.pii import counted, find_pii, listed, luhn, mod97
+from crestline.llm.quality import STATISTICS, RuleModel, fit_rules, statistics
+from crestline.llm.quality import fit as fit_quality
+from crestline.llm.quality import score as score_quality
+from crestline.llm.textvec import slices
+from crestline.llm.token_counts import apply_edits, build, count_edited, read_ranks
+from crestline.llm.token_tree import TokenTree, counter
+
+LOWER = {i: i + 32 for i in range(65, 91)}
+TOKENS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_held_out(nasty):
+    rows = nasty.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("h")).collect()
+    assert all(x["h"] == (zlib.crc32(b"" if x["doc_id"] is None else str(x["doc_id"]).encode()) % 3 == 1) for x in rows)
+
+
+# Quality
+
+
+def test_rules_find_a_conjunction_and_compile(spark):
+    r = np.random.default_rng(1)
+    x = r.random((3000, len(STATISTICS)))
+    y = ((x[:, 0] > 0.4) & (x[:, 3] <= 0.7)).astype(float)
+    model = fit_rules(x[:2000], y[:2000])
+    guess = model.score(x[2000:])
+    assert ((guess >= 0.5) == y[2000:]).mean() > 0.97
+    assert 0 < len(model.rules) < 200
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x[2000:2200]], ", ".join(f"{s} double" for s in STATISTICS))
+    assert np.allclose([v[0] for v in df.select(model.column()).collect()], guess[:200])
+
+
+def test_rules_without_a_choice():
+    assert fit_rules(np.zeros((0, len(STATISTICS))), np.zeros(0)).bias == 0
+    one = fit_rules(np.zeros((9, len(STATISTICS))), np.ones(9))
+    assert not one.rules and one.bias > 0
+    assert not fit_rules(np.zeros((9, len(STATISTICS))), np.array([0.0, 1.0] * 4 + [1.0])).rules
+
+
+def test_statistics_by_hand():
+    import pyarrow as pa
+
+    (_, _, data, offsets), *_ = slices(pa.array(["Ab! 1\nab! x\nab! x", None, "é"]))
+    got = {s: statistics(data, offsets)[:, i] for i, s in enumerate(STATISTICS)}
+    assert got["upper_share"][0] == pytest.approx(1 / 17) and got["shout_share"][0] == pytest.approx(3 / 17)
+    assert got["distinct_share"][0] == 3 / 6 and got["top_share"][0] == 3 / 6
+    assert got["line_repeat_share"][0] == pytest.approx(1 / 3) and got["wide_share"][2] == 1.0
+    assert all(v[1] == 0 for v in got.values())
+
+
+def test_quality_end_to_end(nasty, empty, spark):
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    scored = score_quality(nasty, fit_quality(nasty, labels)).collect()
+    assert len(scored) == len(nasty_rows()) and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in scored)
+    assert score_quality(empty, RuleModel(0.0)).count() == 0
+    assert fit_quality(empty, labels).rules == [] and fit_quality(nasty, labels.where("false")).bias == 0
+    # a bounded sample fits, too
+    assert isinstance(fit_quality(nasty, labels, sample=10), RuleModel)
+
+
+# Token counts
+
+
+def test_tree_edits_are_exact():
+    count = counter(read_ranks())
+    r = random.Random(1)
+    texts = ["", "a", " ", "\n\n  x", "x" * 3000, " " * 2000, "a b c " * 500, "don't  stop\n\nnow 12 34é ß" * 60]
+    for text in texts:
+        tree = TokenTree(text, count, size=40)
+        assert tree.tokens == count(text) and sum(c for c, _ in tree.leaves()) == len(text)
+        for _ in range(25):
+            a = r.randrange(len(tree.text) + 1)
+            b = min(len(tree.text), a + r.choice([0, 0, 1, 3, 20, 200]))
+            new = r.choice(["", " ", "\n", "  ", "foo", " bar baz", "'s", "é", " ", "x\n\ny " * 30])
+            want = tree.text[:a] + new + tree.text[b:]
+            tree.edit(a, b, new)
+            assert tree.text == want and tree.tokens == count(want) and sum(c for c, _ in tree.leaves()) == len(want)
+        kept = TokenTree(tree.text, count, tree.leaves(), size=40)
+        assert kept.encoded == 0 and kept.tokens == tree.tokens
+
+
+def test_edits_touch_little():
+    count = counter(read_ranks())
+    tree = TokenTree("some words here " * 2000, count)
+    tree.encoded = 0
+    tree.edit(15_000, 15_004, "other")
+    assert 0 < tree.encoded < 2000 and tree.tokens == count(tree.text)
+
+
+def test_token_tables(nasty, empty, spark):
+    ranks = read_ranks()
+    count = counter(ranks)
+    trees = build(nasty, ranks)
+    assert sorted(x["n_tokens"] for x in trees.collect()) == sorted(count(x[1] or "") for x in nasty_rows())
+    edits = spark.createDataFrame([(0, 2, 3, 2, "zz"), (0, 1, 0, 1, None), (61, 1, 5, 5, "new"), (62, 1, None, 5, "no"), (None, 1, 0, 0, "x"), (12345, 1, 0, 0, "x")], "doc_id long, seq int, start long, length long, inserted string")
+    texts = {x[0]: x[1] or "" for x in nasty_rows()}
+    zero = texts[0][1:]
+    want = {0: zero[:3] + "zz" + zero[5:], 61: texts[61][:5] + "new" + texts[61][10:], 62: texts[62]}
+    got = {x["doc_id"]: x for x in apply_edits(nasty, trees, edits, ranks).collect()}
+    assert set(got) == set(want)
+    for k, text in want.items():
+        assert (got[k]["edited_tokens"], got[k]["edited_chars"], got[k]["n_tokens"]) == (count(text), len(text), count(texts[k]))
+    assert count_edited(empty, F.array(), ranks).count() == 0
+
+
+# Main text
+
+
+@pytest.fixture(scope="module")
+def field():
+    return trained()
+
+
+def test_field_on_unseen_pages(field):
+    right = total = 0
+    for page, labels in labelled_pages(200, seed=77):
+        right += sum(a == b for a, b in zip(field.decode(page), labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.98
+
+
+def test_viterbi_is_the_best_path(field):
+    from itertools import product
+
+    from crestline.llm.main_text import features
+
+    def value(page, labels):
+        v = field.first[labels[0]] + field.last[labels[-1]] + sum(field.pairs[a, b] for a, b in zip(labels, labels[1:], strict=False))
+        return v + sum(field.weights.get(f, (0.0, 0.0))[y] for names, y in zip(features(page), labels, strict=True) for f in names)
+
+    for page, _ in labelled_pages(12, seed=5):
+        page = page[:9]
+        assert value(page, field.decode(page)) == pytest.approx(max(value(page, y) for y in product((0, 1), repeat=len(page))))
+
+
+def test_broken_pages():
+    texts = lambda p: [b.text for b in blocks(p)]
+    assert texts("") == texts("<a") == texts("<!-- x") == texts("<script>x") == texts("<div></p></div>") == []
+    assert texts("<p>a<p>b &amp; &lt;c&gt;&nbsp; d\n e") == ["a", "b & <c> d e"]
+    assert texts("x <b>y</b>z<br>w<i title='>'>v") == ["x yz wv"]
+    assert texts("<script>if (a<b) '</p>'</script>c<style>d") == ["c"]
+    assert texts("1 < 2 and 3 > 2") == ["1 < 2 and 3 > 2"]
+    assert len(texts("<div>" * 3000 + "deep" + "</b>" * 3000)) == 1
+    assert len(texts("<ul>" + "<li>a" * 2000)) == 2000
+
+
+def test_extracts_articles(spark, field):
+    page = (
+        '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><!-- ad --><div class="ad">Buy now.</div>'
+        "<article><h1>Long words about things</h1><p><b>First part &amp; more of it, with words.<br><p>Second part of this page, which goes on. </p></article>"
+        '<section class="comments"><p>Nice one, thanks for it.</p></section><footer>&copy; me.example &middot; Words.</footer></body></html>'
+    )
+    want = "Long words about things First part & more of it, with words. Second part of this page, which goes on."
+    assert main_text(page, field) == want
+    df = spark.createDataFrame([(1, "u", page, 3), (2, None, None, 4), (None, "v", "", 5), (1, "u", page, 3)], "page_id long, url string, html string, n_chars int")
+    got = sorted(map(str, extract(df, field).collect()))
+    assert len(got) == 4 and sum(want in g and f"n_chars={len(want)}" in g for g in got) == 2
+    assert extract(df.where("false"), field).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_extracts_all_test_pages(field, sf):
+    duckdb = pytest.importorskip("duckdb")
+    try:
+        pages = duckdb.sql(f"SELECT html FROM '/root/testdata/{sf}/pages.parquet'").fetchall()
+    except duckdb.Error:
+        pytest.skip("test tables are needed")
+    for (page,) in pages:
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:h1|p|br)>", " ", inner))).split())
+        assert main_text(page, field) == want
+
+
+# Languages
+
+
+def test_codewords():
+    for n in (2, 3, 5, 6):
+        code = codewords(n)
+        assert code.shape == (n, 2 ** (n - 1) - 1)
+    code = codewords(20).astype(int)
+    apart = [(code[i] != code[j]).sum() for i in range(20) for j in range(i)]
+    assert min(apart) >= 10 and (codewords(20) == code).all()
+
+
+def test_language_accuracy(spark, nasty, empty):
+    r = random.Random(4)
+    letters = {"aa": "abcdeo", "bb": "xyzwua", "cc": "éèaßou", "dd": "авегоа", "ee": "klmnoi", "ff": "pqrsie", "gg": "fghjau"}
+    text = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randrange(2, 9))) for _ in range(25))
+    rows = [(i, text(a), k) for i in range(120) for k, a in letters.items()]
+    docs = spark.createDataFrame([(j, t, k) for j, (_, t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    out = held_out(F.col("doc_id"), 3, 1)
+    for subset in (list(letters)[:4], list(letters)):
+        some = docs.where(F.col("lang").isin(subset))
+        got = identify(some.where(out), fit(some.where(~out)), extra={"truth": F.col("lang")}).collect()
+        assert np.mean([x["lang_pred"] == x["truth"] for x in got]) > 0.98 and all(0 <= x["score"] <= 1 for x in got)
+    model = fit(nasty)
+    got = identify(nasty, model).collect()
+    assert len(got) == len(nasty_rows())
+    unknown = [x for x in got if x["lang_pred"] == "und"]
+    assert len(unknown) == sum(not re.search(r"[^\W\d_]", x[1] or "") for x in nasty_rows()) and all(x["score"] == 0 for x in unknown)
+    assert fit(nasty.where("lang is null")) is None
+    assert {x["lang_pred"] for x in identify(nasty, None).collect()} == {"und"}
+    assert {x["lang_pred"] for x in identify(nasty, fit(nasty.where("lang = 'de'"))).collect()} == {"und", "de"}
+    assert identify(empty, model).count() == 0
+    kept = keep_identified(nasty, model)
+    assert kept.columns == nasty.columns and kept.dtypes == nasty.dtypes
+
+
+# Language model
+
+
+def test_exchange_finds_the_classes():
+    r = np.random.default_rng(2)
+    words, kinds = 40, 4
+    of = r.permutation(np.arange(words) % kinds)
+    table = np.zeros((words + 2, words + 2))
+    at = 0
+    for _ in range(40_000):
+        kind = (of[at] + 1) % kinds if r.random() < 0.9 else r.integers(kinds)
+        new = r.choice(np.flatnonzero(of == kind))
+        table[at, new] += 1
+        at = new
+    found = exchange(table, kinds)[:words]
+    assert all(len(set(found[of == k])) == 1 for k in range(kinds)) and len(set(found)) == kinds
+
+
+def test_base_scores_and_gain(nasty, empty, spark):
+    learn = ~held_out(F.col("doc_id"), 7, 2)
+    for parts in ({}, {"block_bytes": 4000, "core": 20, "classes": 4}):
+        got = score_texts(nasty, learn, **parts).collect()
+        docs = [(x[0], TOKENS.findall((x[1] or "").translate(LOWER)) + [None]) for x in nasty_rows()]
+        counts = Counter(w for i, ws in docs if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for w in ws)
+        n, v = sum(counts.values()), len(counts)
+        want = sorted((str(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in docs)
+        assert sorted((str(x["doc_id"]), x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got) == want
+        assert all(x["score"] < 0 and math.isfinite(x["score"]) for x in got)
+    assert score_texts(empty, learn).count() == 0
+    none = score_texts(nasty, F.lit(False)).collect()
+    assert len(none) == len(nasty_rows()) and all(x["n_known"] == 0 and x["train_tokens"] == 0 and x["score"] <= 0 for x in none)
+
+
+def test_classes_beat_the_base_on_held_out_texts(spark):
+    r = random.Random(6)
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "abcdef"]
+
+    def text():
+        k, out = r.randrange(6), []
+        for _ in range(60):
+            k = (k + 1) % 6 if r.random() < 0.85 else r.randrange(6)
+            out.append(r.choice(kinds[k]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    out = held_out(F.col("doc_id"), 7, 2)
+    got = score_texts(docs, ~out, classes=8).join(docs.select("doc_id", out.alias("held")), "doc_id").where("held").collect()
+    assert sum(x["score"] for x in got) > 0.8 * sum(x["base_score"] for x in got)
+
+
+# Personal data
+
+
+def reference_pii(text):
+    """The contract's kinds by plain regular expressions."""
+    found = []
+
+    def card(v):
+        d = [int(c) for c in v if c.isdigit()]
+        return 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", card),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 10 <= sum(c.isdigit() for c in v) <= 15),
+    ]
+    for k, (pattern, ok) in enumerate(kinds):
+        for m in re.finditer(pattern, text):
+            if ok(m[0]):
+                found.append((m.start(), k, ("email", "ip", "card", "phone")[k], m.end()))
+    return ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(found))
+
+
+def test_pii_against_plain_patterns(spark, nasty, empty):
+    r = random.Random(8)
+    pieces = ["a@b.co", "a.b+c@d-e.f.g", "@", "x@", "@y.z", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "001.2.3.004", "1..2", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "+1 (988) 555-2485", "+1", "+12 ", "+49 30 1234567890123", "é", " ", "\n", ".", "-", "_", "%", "7", "00", "tel", ",", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", "mail:"]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " ", " "]) for _ in range(r.randrange(1, 25))) for _ in range(400)] + [None, "", "9" * 5000, "1 " * 4000, "a" * 5000 + "@", "a." * 5000, "+1" * 3000, "+1" + " " * 5000, "a@" + "b." * 5000, "1." * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = find_pii(docs).select("doc_id", listed(F.col("base")).alias("base"), listed(F.col("spans")).alias("spans"), counted(F.col("spans"), "iban").alias("iban")).collect()
+    for x in found:
+        text = texts[x["doc_id"]] or ""
+        assert x["base"] == reference_pii(text), text[:200]
+        assert set(filter(None, x["base"].split(","))) <= set(x["spans"].split(",")) or not x["base"]
+        assert x["spans"].count("iban:") == x["iban"]
+    ibans = spark.createDataFrame([(1, "iban DE89370400440532013000, GB82 WEST 1234 5698 7654 32; GB82WEST12345698765433")], "doc_id long, text string")
+    (row,) = find_pii(ibans).collect()
+    assert [(s["kind"], s["start"], s["end"]) for s in row["spans"] if s["kind"] == "iban"] == [("iban", 5, 27), ("iban", 29, 56)]
+    scores = {s["start"]: s["score"] for s in row["spans"] if s["kind"] == "iban"}
+    assert scores[5] == pytest.approx(0.9)
+    assert find_pii(empty).count() == 0 and find_pii(nasty).count() == len(nasty_rows())
+
+
+def test_checksums(spark):
+    df = spark.createDataFrame([("79927398713", "GB82WEST12345698765432"), ("79927398710", "GB82WEST12345698765431")], "d string, i string")
+    assert [tuple(x) for x in df.select(luhn(F.col("d")), mod97(F.col("i"))).collect()] == [(True, True), (False, False)]
+
+
+def test_pii_is_native(spark, nasty):
+    plan = find_pii(nasty.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan.split("InMemory")[0]
