@@ -33,7 +33,7 @@ from .common import packed, stored, word_count
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_PASSES = 2
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 MOST_BLOCK = 4096
 SEED = "mix-1"
 

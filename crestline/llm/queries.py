@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
         seats AS (SELECT source, target, unnest(range(1, CAST(ceil(target / (SELECT b FROM block)) AS BIGINT) + 60)) AS seat FROM targets),
         won AS (SELECT source, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source ASC NULLS LAST) AS r FROM seats WHERE target > 0),
         quotas AS (SELECT source, count(*) AS quota FROM won WHERE r <= (SELECT round(sum(target) / (SELECT b FROM block)) FROM targets) GROUP BY source),
-        shards AS (SELECT t.*, coalesce(quota, 0) AS quota, greatest(1, CAST(ceil(source_size / 4194304) AS BIGINT)) AS n_shards FROM targets t LEFT JOIN quotas q ON t.source IS NOT DISTINCT FROM q.source),
+        shards AS (SELECT t.*, coalesce(quota, 0) AS quota, greatest(1, CAST(ceil(source_size / 262144) AS BIGINT)) AS n_shards FROM targets t LEFT JOIN quotas q ON t.source IS NOT DISTINCT FROM q.source),
         placed AS (SELECT s.doc_id, s.source, s.size, h.source_size, h.target, h.quota, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place,
                           CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 7) AS BIGINT) % n_shards AS shard
                    FROM sizes s JOIN shards h ON s.source IS NOT DISTINCT FROM h.source),
