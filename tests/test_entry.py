@@ -1,6 +1,10 @@
 """The driver's contract on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -16,6 +20,14 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 100
 
 
+def test_works_without_the_optional_operators(tmp_path):
+    here = Path(entry.__file__).parent
+    shutil.copytree(here / "crestline", tmp_path / "crestline", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
