@@ -35,7 +35,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,8 +105,8 @@ def _prober(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
                 names = pa.compute.dictionary_encode(batch.column(2).fill_null(""))
                 pivots = [values[bounds[i] : bounds[i + 1]] for _, _, values, bounds in _sets(names.dictionary, width) for i in range(len(bounds) - 1)]
                 which = names.indices.to_numpy()
@@ -129,17 +128,19 @@ def _prober(width: int):
 def _crosser(percent: int):
     """The links between the minor members of one block and all members of another, about one pivot."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        probe, base = rows[rows["minor"]], rows[~rows["minor"]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        minor = rows["minor"].to_numpy()
+        base, probe = rows.filter(pa.array(~minor)).combine_chunks(), rows.filter(pa.array(minor)).combine_chunks()
         hi, lo = [], []
         if len(probe) and len(base):
-            values = np.frombuffer(b"".join(base["difference"]), dtype=np.uint64)
-            lengths = base["difference"].map(len).to_numpy() // 8
+            parts = base["difference"].to_pylist()
+            lengths = np.array([len(d) // 8 for d in parts])
+            values = np.frombuffer(b"".join(parts), dtype=np.uint64)
             order = np.argsort(values, kind="stable")
-            owner = np.repeat(np.arange(len(base)), lengths)[order]
+            owner = np.repeat(np.arange(len(base), dtype=np.int32), lengths)[order]
             values = values[order]
-            sizes, roots, nodes = base["n"].to_numpy(), base["root"].to_numpy(), base["node"].to_numpy()
-            for node, n, root, difference in zip(probe["node"], probe["n"], probe["root"], probe["difference"], strict=True):
+            sizes, roots, nodes = (base[c].to_numpy() for c in ("n", "root", "node"))
+            for node, n, root, difference in zip(*(probe[c].to_pylist() for c in ("node", "n", "root", "difference")), strict=True):
                 own = np.frombuffer(difference, dtype=np.uint64)
                 left, right = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
                 lists = [owner[a:b] for a, b in zip(left, right, strict=True) if b > a]
@@ -153,7 +154,7 @@ def _crosser(percent: int):
                     for other in nodes[linked[one]].tolist():
                         hi.append(max(node, other))
                         lo.append(min(node, other))
-        return pd.DataFrame({"hi": np.array(hi, np.int64), "lo": np.array(lo, np.int64)})
+        return pa.table({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64())})
 
     return run
 
@@ -210,7 +211,8 @@ def near_duplicates(
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     base = opened.select("pivot", F.explode(each).alias("i"), F.col("own").alias("j"), "node", "n", "root", "difference", F.lit(False).alias("minor"))
     probe = opened.where("root != major").select("pivot", F.col("own").alias("i"), F.explode(each).alias("j"), "node", "n", "root", "difference", F.lit(True).alias("minor"))
-    more = base.unionByName(probe).groupBy("pivot", "i", "j").applyInPandas(_crosser(percent), "hi long, lo long")
+    # dealt by block, not by pivot: a pivot's blocks are many tasks
+    more = base.unionByName(probe).repartition("pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(_crosser(percent), "hi long, lo long")
     # links found late join whole components: the edge between two roots says it all
     late = stored(more.distinct(), "near-late")
     every = links.unionByName(late)
