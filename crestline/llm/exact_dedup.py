@@ -43,7 +43,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stored(_profile(docs, id_col, text_col, prefix_chars), "exact-rows")
     alive = rows
     for step in (["length"], ["length", "prefix"]):
-        alive = joined_hot(alive, alive.groupBy(*step).agg(F.sum("copies").alias("n")).where("n > 1").select(*step), step, "left_semi")
+        # written between the steps: a join that feeds a write can be split at a hot key, one that feeds the next grouping can't
+        alive = stored(joined_hot(alive, alive.groupBy(*step).agg(F.sum("copies").alias("n")).where("n > 1").select(*step), step, "left_semi"), "exact-alive")
     keys = ["length", "prefix", "sha"]
     # fewest = most code points; then a known id before a null one; then the smallest id
     best = F.min(F.struct((-F.col("n_chars")).alias("fewest"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id")))
