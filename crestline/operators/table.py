@@ -133,3 +133,15 @@ def semi_annotated_join(a: DataFrame, a_key: list[Ref], a_weight: Ref, b: DataFr
 def table_hash(df: DataFrame, new: str = "hash") -> DataFrame:
     """An order-insensitive digest: pairs of equal rows cancel out."""
     return df.agg(F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0).cast("long")).alias(new))
+
+
+def show(df: DataFrame, limit: int = 20) -> None:
+    """Prints the first rows with their column names."""
+    df.show(limit, truncate=False)
+
+
+def best_row(df: DataFrame, keys: list[Ref], by: Ref, new: str = "best") -> DataFrame:
+    """Under each key the row of the largest value (ties: the largest by all columns), as a struct."""
+    rest = [c for c in df.columns if c not in names(df, keys)]
+    by = name(df, by)
+    return df.groupBy(*names(df, keys)).agg(F.max(F.struct(by, *[c for c in rest if c != by])).alias(new))

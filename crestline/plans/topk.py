@@ -25,9 +25,19 @@ from ..scratch import materialise
 from .jointree import JoinTree, Node
 from .semiring import Ranking
 
+_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def best_k(df: DataFrame, score: str, k: int, ranking: Ranking) -> DataFrame:
-    """The rows of the k best scores, ties kept (planned as a partial and a final rank limit)."""
+    """The rows of the k best scores, ties kept.
+
+    Planned as a rank limit in every task and a final one over what these
+    leave, so the one task at the end sees k rows (and ties) of each. Spark
+    plans that only up to a session threshold, which is raised to k.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_LIMIT, "1000")) < k:
+        conf.set(_LIMIT, str(k))
     return df.withColumn("_rank", F.rank().over(Window.orderBy(ranking.order(score)))).where(F.col("_rank") <= k).drop("_rank")
 
 

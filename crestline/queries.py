@@ -16,7 +16,7 @@ from .plans import sql as ranked_sql
 from .plans.eager import Aggregate, aggregate_join
 from .plans.jointree import JoinTree, Relation, fork, line, star
 from .plans.semiring import ADD, MAX, MIN, MUL, Ranking
-from .plans.topk import checksum, digest, level_k, naive, product_k, projected_k
+from .plans.topk import Reduced, checksum, digest, level_k, naive, product_k, projected_k, truncate_child
 from .sources.graph import lineitem_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,15 @@ _sql("sql_theta", "SELECT R.src AS a, S.src AS b, T.src AS c, T.dst AS d FROM gr
 _sql("sql_aggregate", "SELECT R.src AS a, count(*) AS n, sum(S.rating) AS total, max(T.rating) AS top, min(R.rating) AS low, avg(T.rating) AS mean FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src GROUP BY R.src", "product_k", "SELECT R.src AS a, count(*) AS n, sum(S.rating)::BIGINT AS total, max(T.rating) AS top, min(R.rating) AS low, avg(T.rating) AS mean FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src GROUP BY R.src")
 _sql("sql_cyclic", "SELECT R.src AS a, S.src AS b, T.src AS c FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src AND T.dst = R.src")
 
+_BOUNDS = "ends AS (SELECT src, max(rating) AS m FROM graph GROUP BY src)"
+_on_graph("suffix_bounds", lambda g: Reduced(line(g, 2), Ranking()).frames["E1"].select("node1", "node2", "w", "bound"), f", {_BOUNDS} SELECT g.src AS node1, g.dst AS node2, g.rating AS w, g.rating + m AS bound FROM graph g JOIN ends ON g.dst = ends.src")
+_on_graph(
+    "truncate_next",
+    lambda g: truncate_child(g.where("src < 300").select(F.col("dst").alias("node2"), F.col("rating").alias("acc")), Reduced(line(g, 2), Ranking()).frames["E2"], ["node2"], F.col("acc"), 50, Ranking()).select("node2", "node3", "w"),
+    """SELECT node2, node3, w FROM (SELECT g.src AS node2, g.dst AS node3, g.rating AS w, rank() OVER (ORDER BY b + g.rating DESC) AS p
+        FROM graph g JOIN (SELECT dst AS k, max(rating) AS b FROM graph WHERE src < 300 GROUP BY dst) ON g.src = k) WHERE p <= 50""",
+)
+
 # Aggregation, reduction, inequalities
 
 _on_graph(
@@ -252,6 +261,11 @@ _on_graph("take_last", lambda g: segmented.take_last(segmented.append_tuples(g,
 _on_graph("mask_and_mux", lambda g: g.select("src", "dst", scalar.mask(F.col("rating"), F.col("src")).alias("masked"), scalar.mux(F.col("src") < F.col("dst"), F.col("src"), F.col("dst")).alias("less")), "SELECT src, dst, CASE WHEN rating % 2 = 1 THEN src ELSE 0 END AS masked, least(src, dst) AS less FROM graph")
 _on_graph("fixed_point", lambda g: g.select("src", "dst", scalar.fixed_multiply(scalar.fixed(F.col("src") / 8.0), scalar.fixed(F.col("dst") / 4.0)).alias("product")), "SELECT src, dst, src * dst * 2048 AS product FROM graph")
 _on_graph("piecewise_sigmoid", lambda g: g.select("src", "dst", scalar.piecewise_sigmoid((F.col("src") - F.col("dst")) / 1024.0).alias("y")), "SELECT src, dst, CASE WHEN (src - dst) / 1024.0::DOUBLE < -0.5 THEN 0.0::DOUBLE WHEN (src - dst) / 1024.0::DOUBLE > 0.5 THEN 1.0::DOUBLE ELSE (src - dst) / 1024.0::DOUBLE + 0.5::DOUBLE END AS y FROM graph")
+_on_graph("key_hash", lambda g: g.select("src", scalar.key_hash(F.col("src")).alias("digest")).distinct(), "SELECT DISTINCT src, substr(sha256(CAST(src AS VARCHAR)), 1, 20) AS digest FROM graph")
+_on_graph("sigmoid", lambda g: g.select("src", "dst", (F.round(scalar.sigmoid((F.col("src") - F.col("dst")) / 1024.0) * 1e9).cast("long")).alias("y")), "SELECT src, dst, CAST(round(1.0::DOUBLE / (1.0::DOUBLE + exp(-((src - dst) / 1024.0::DOUBLE))) * 1e9) AS BIGINT) AS y FROM graph")
+_on_graph("best_row", lambda g: table.best_row(g, ["src"], "rating").select("src", "best.rating", "best.dst"), "SELECT src, rating, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rating DESC, dst DESC) AS p FROM graph) WHERE p = 1")
+_on_graph("shuffled", lambda g: segmented.shuffled(g, 7, ["src", "dst"]), "SELECT * FROM graph")
+_on_graph("layers", lambda g: regression.layers(g, ["src", "dst"], [[[1.0, -1.0], [0.5, 0.5]], [[2.0, 1.0], [0.0, -1.0]]]).select("src", "dst", "out0", "out1"), "SELECT src, dst, greatest(src - dst, 0) * 2.0::DOUBLE + (src + dst) * 0.5::DOUBLE AS out0, -((src + dst) * 0.5::DOUBLE) AS out1 FROM graph")
 _register("timestamp_interval", "SELECT event_id, ts + INTERVAL 3 DAY AS due FROM events", edges=False)(lambda spark, d: _read(spark, d, "events").select("event_id", scalar.later(F.col("ts"), "3 days").alias("due")))
 _register("like_and_in", "SELECT c_custkey FROM customer WHERE c_name LIKE '%7' AND c_mktsegment NOT LIKE 'A%' AND c_nationkey IN (1, 2, 3, 5, 8)", edges=False)(
     lambda spark, d: _read(spark, d, "customer").where(F.col("c_name").like("%7") & ~F.col("c_mktsegment").like("A%") & F.col("c_nationkey").isin(1, 2, 3, 5, 8)).select("c_custkey")

@@ -57,6 +57,11 @@ def write_nothing(df: DataFrame) -> None:
 
 
 def lineitem_graph(lineitem: DataFrame, nodes: int = 2000) -> DataFrame:
-    """Distinct weighted edges between order and part numbers, folded to ``nodes`` ids."""
-    edges = lineitem.where("l_linenumber = 1").select((F.col("l_orderkey") % nodes).alias("src"), (F.col("l_partkey") % nodes).alias("dst")).distinct()
-    return with_generated_weight(edges)
+    """Distinct weighted edges between order and part numbers, folded to ``nodes`` ids.
+
+    The ids are declared free of nulls: else every join adds its own null
+    filter below the aggregation, and self-joins can't share one scan and shuffle.
+    """
+    known = lineitem.where("l_linenumber = 1 and l_orderkey is not null and l_partkey is not null")
+    folded = {n: F.coalesce(F.col(c) % nodes, F.lit(0).cast("long")).alias(n) for n, c in (("src", "l_orderkey"), ("dst", "l_partkey"))}
+    return with_generated_weight(known.select(*folded.values()).distinct())
