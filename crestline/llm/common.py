@@ -32,6 +32,21 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
 
 
+_WRITTEN: list[str] = []
+
+
+def mark() -> int:
+    """How many tables ``stored`` has written so far, for ``sweep``."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``stored`` has written after a ``mark``, once nothing that reads them is needed."""
+    while len(_WRITTEN) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again.
 
@@ -41,6 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
