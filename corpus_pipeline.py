@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm.common import scratch_dir, table
+from crestline.llm.common import mark, scratch_dir, sweep, table
 from crestline.llm.decontaminate import drop_leaks
 from crestline.llm.exact_dedup import drop_exact_duplicates
 from crestline.llm.langid import fit, keep_identified
@@ -50,6 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{scratch_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        since = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # the stage's own intermediate tables aren't needed any more
+        sweep(spark, since)
     return docs
