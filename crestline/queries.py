@@ -23,9 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 K = 1024
-NODES = 2000
-EDGES = f"""graph AS (SELECT src, dst, (172475 * src + 8203 * dst + 308407) % 400009 AS rating
-    FROM (SELECT DISTINCT l_orderkey % {NODES} AS src, l_partkey % {NODES} AS dst FROM lineitem WHERE l_linenumber = 1))"""
+EDGES = """graph AS (SELECT src, dst, (172475 * src + 8203 * dst + 308407) % 400009 AS rating
+    FROM (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem))"""
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +32,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem_graph(_read(spark, sf_dir, "lineitem"), NODES)
+    return lineitem_graph(_read(spark, sf_dir, "lineitem"))
 
 
 def _register(name: str, sql: str | None = None, edges: bool = True):
@@ -134,9 +133,9 @@ _BOUNDS = "ends AS (SELECT src, max(rating) AS m FROM graph GROUP BY src)"
 _on_graph("suffix_bounds", lambda g: Reduced(line(g, 2), Ranking()).frames["E1"].select("node1", "node2", "w", "bound"), f", {_BOUNDS} SELECT g.src AS node1, g.dst AS node2, g.rating AS w, g.rating + m AS bound FROM graph g JOIN ends ON g.dst = ends.src")
 _on_graph(
     "truncate_next",
-    lambda g: truncate_child(g.where("src < 300").select(F.col("dst").alias("node2"), F.col("rating").alias("acc")), Reduced(line(g, 2), Ranking()).frames["E2"], ["node2"], F.col("acc"), 50, Ranking()).select("node2", "node3", "w"),
+    lambda g: truncate_child(g.select(F.col("dst").alias("node2"), F.col("rating").alias("acc")), Reduced(line(g, 2), Ranking()).frames["E2"], ["node2"], F.col("acc"), 50, Ranking()).select("node2", "node3", "w"),
     """SELECT node2, node3, w FROM (SELECT g.src AS node2, g.dst AS node3, g.rating AS w, rank() OVER (ORDER BY b + g.rating DESC) AS p
-        FROM graph g JOIN (SELECT dst AS k, max(rating) AS b FROM graph WHERE src < 300 GROUP BY dst) ON g.src = k) WHERE p <= 50""",
+        FROM graph g JOIN (SELECT dst AS k, max(rating) AS b FROM graph GROUP BY dst) ON g.src = k) WHERE p <= 50""",
 )
 
 # Aggregation, reduction, inequalities
@@ -177,7 +176,7 @@ def _triangles(g: DataFrame) -> DataFrame:
 
 
 _on_graph("bag_cycle_topk", _triangles, "SELECT R.src AS a, R.dst AS b, S.dst AS c, U.dst AS d, R.rating + S.rating + T.rating + U.rating AS total_rating FROM graph R, graph S, graph T, graph U WHERE R.dst = S.src AND S.dst = T.src AND T.dst = R.src AND U.src = R.src ORDER BY total_rating DESC, a, b, c, d LIMIT 100")
-_on_graph("auxiliary_view", lambda g: reducer.auxiliary(Relation.of("R", g, {"a": "src", "b": "dst"}, "rating"), ["a"], "aux", F.col("b") < 500).frame, "SELECT DISTINCT src AS a, CAST(0 AS BIGINT) AS weight FROM graph WHERE dst < 500")
+_on_graph("auxiliary_view", lambda g: reducer.auxiliary(Relation.of("R", g, {"a": "src", "b": "dst"}, "rating"), ["a"], "aux", F.col("weight") >= 100000).frame, "SELECT DISTINCT src AS a, CAST(0 AS BIGINT) AS weight FROM graph WHERE rating >= 100000")
 _on_graph("table_agg", lambda g: reducer.table_agg(g, g.select(F.col("src").alias("dst"), F.col("rating").alias("r")), ["dst"], {"n": F.count(F.lit(1)), "top": F.max("r")}).select("src", "dst", "n", "top"), "SELECT g.src, g.dst, n, top FROM graph g JOIN (SELECT src AS k, count(*) AS n, max(rating) AS top FROM graph GROUP BY src) ON g.dst = k")
 
 # Table algebra
@@ -219,29 +218,26 @@ _register("unique_join", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON
     lambda spark, d: joins.unique_join(_read(spark, d, "supplier").withColumnRenamed("s_nationkey", "k"), _read(spark, d, "nation").withColumnRenamed("n_nationkey", "k"), ["k"], [F.col("s_suppkey"), F.col("n_name")])
 )
 _on_graph("many_to_many_join", lambda g: joins.many_to_many(g.toDF("a", "b", "x"), g.toDF("b", "c", "y"), ["b"]), "SELECT R.src AS a, R.dst AS b, R.rating AS x, S.dst AS c, S.rating AS y FROM graph R JOIN graph S ON R.dst = S.src")
-_on_graph("full_join", lambda g: joins.full_join(g.where("rating % 2 = 0").groupBy("src").agg(F.count(F.lit(1)).alias("n")), g.where("rating % 3 = 0").groupBy("src").agg(F.max("dst").alias("m")), ["src"]), "SELECT coalesce(a.src, b.src) AS src, n, m FROM (SELECT src, count(*) AS n FROM graph WHERE rating % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT src, max(dst) AS m FROM graph WHERE rating % 3 = 0 GROUP BY 1) b ON a.src = b.src")
+_register("full_join", "SELECT coalesce(a.k, b.k) AS k, n, m FROM (SELECT s_suppkey AS k, count(*) AS n FROM supplier GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_orderkey) AS m FROM orders GROUP BY 1) b ON a.k = b.k", edges=False)(
+    lambda spark, d: joins.full_join(_read(spark, d, "supplier").groupBy(F.col("s_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n")), _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("m")), ["k"])
+)
 _on_graph("semi_join_sum", lambda g: joins.semi_join_sum(g, g.select(F.col("src").alias("dst"), F.col("rating").alias("r")), ["dst"], "r", "below"), "SELECT g.src, g.dst, g.rating, coalesce(s, 0)::BIGINT AS below FROM graph g LEFT JOIN (SELECT src AS k, sum(rating) AS s FROM graph GROUP BY src) ON g.dst = k")
 _on_graph("expand", lambda g: joins.expand(g.select("src", "dst", (F.col("rating") % 4).alias("degree")), "degree"), "SELECT src, dst, rating % 4 AS degree, unnest(range(1, rating % 4 + 1)) AS copy FROM graph")
-_on_graph("expand_range", lambda g: joins.expand_range(g.where("src < 50"), 2, 4), "SELECT src, dst, rating, unnest([2, 3, 4]) ::BIGINT AS id FROM graph WHERE src < 50")
+_on_graph("expand_range", lambda g: joins.expand_range(g, 2, 4), "SELECT src, dst, rating, unnest([2, 3, 4])::BIGINT AS id FROM graph")
 
 
 @_register(
     "registered_twice",
-    """WITH d1 AS (SELECT c_custkey AS ssn, c_custkey * 10 + 1 AS na, (c_custkey * 37) % 1000 AS ad, (c_custkey % 11) <> 0 AS reg FROM customer WHERE c_custkey % 3 <> 0),
-    d2 AS (SELECT c_custkey AS ssn, c_custkey * 10 + 2 AS na, (c_custkey * 53) % 1000 AS ad, (c_custkey % 7) <> 0 AS reg FROM customer WHERE c_custkey % 5 <> 0)
+    """WITH d1 AS (SELECT c_custkey AS ssn, c_custkey * 10 + 1 AS na, c_nationkey AS ad, c_custkey IN (SELECT o_custkey FROM orders) AS reg FROM customer),
+    d2 AS (SELECT s_suppkey AS ssn, s_suppkey * 10 + 2 AS na, s_nationkey AS ad, s_suppkey IN (SELECT l_suppkey FROM lineitem) AS reg FROM supplier)
     SELECT d1.ssn AS SSN, CASE WHEN (d1.reg AND d2.reg) OR (d1.ad < d2.ad AND d1.reg) THEN d1.na ELSE 0 END AS NA1, CASE WHEN (d1.reg AND d2.reg) OR (NOT d1.ad < d2.ad AND d2.reg) THEN d2.na ELSE 0 END AS NA2 FROM d1 JOIN d2 ON d1.ssn = d2.ssn""",
     edges=False,
 )
 def registered_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer")
-
-    def state(skip: int, name: int, factor: int) -> DataFrame:
-        return c.where(F.col("c_custkey") % skip != 0).select((F.col("c_custkey") * 10 + name).alias("NA"), (F.col("c_custkey") * factor % 1000).alias("AD"), (F.col("c_custkey") + 7).alias("DL"), F.col("c_custkey").alias("SSN"))
-
-    def voters(skip: int) -> DataFrame:
-        return c.where(F.col("c_custkey") % skip != 0).select((F.col("c_custkey") + 7).alias("DL"))
-
-    return joins.registered_twice(state(3, 1, 37), voters(11), state(5, 2, 53), voters(7))
+    """Customers and suppliers as two states' registers, those with orders or line items as their voters."""
+    one = _read(spark, sf_dir, "customer").select((F.col("c_custkey") * 10 + 1).alias("NA"), F.col("c_nationkey").alias("AD"), F.col("c_custkey").alias("DL"), F.col("c_custkey").alias("SSN"))
+    two = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 10 + 2).alias("NA"), F.col("s_nationkey").alias("AD"), F.col("s_suppkey").alias("DL"), F.col("s_suppkey").alias("SSN"))
+    return joins.registered_twice(one, _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("DL")), two, _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("DL")))
 
 
 # Segments and windows
@@ -257,7 +253,7 @@ _on_graph("fill_forward", lambda g: segmented.fill_forward(g.withColumn("mark",
 _on_graph("pack_key", lambda g: g.select("src", "dst", segmented.pack_key(F.col("src"), F.col("dst")).alias("packed"), segmented.unpack_key(segmented.pack_key(F.col("src"), F.col("dst")))[1].alias("low")), "SELECT src, dst, src * 4294967296 + dst AS packed, dst AS low FROM graph")
 _on_graph("alignment", lambda g: segmented.alignment(g.withColumn("degree", F.lit(2)), ["src"], ["dst"], "degree").select("src", "dst", "slot"), "SELECT src, dst, c * n + r AS slot FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r, count(*) OVER (PARTITION BY src) AS n FROM graph), (SELECT unnest([0, 1]) AS c)")
 _on_graph("permuted", lambda g: segmented.permuted(g, g.select(F.col("rating").alias("row_"), (-F.col("rating")).alias("place")).distinct().withColumnRenamed("row_", "rating"), "rating", "place"), "SELECT g.src, g.dst, g.rating, -g.rating AS place FROM graph g")
-_on_graph("take_last", lambda g: segmented.take_last(segmented.append_tuples(g, g.where("src < 10"), ["src", "dst", "rating"]), 20, ["rating", "src", "dst"]), "SELECT * FROM (SELECT * FROM graph UNION ALL SELECT * FROM graph WHERE src < 10) ORDER BY rating DESC, src DESC, dst DESC LIMIT 20")
+_on_graph("take_last", lambda g: segmented.take_last(segmented.append_tuples(g, g, ["src", "dst", "rating"]), 20, ["rating", "src", "dst"]), "SELECT * FROM (SELECT * FROM graph UNION ALL SELECT * FROM graph) ORDER BY rating DESC, src DESC, dst DESC LIMIT 20")
 _on_graph("mask_and_mux", lambda g: g.select("src", "dst", scalar.mask(F.col("rating"), F.col("src")).alias("masked"), scalar.mux(F.col("src") < F.col("dst"), F.col("src"), F.col("dst")).alias("less")), "SELECT src, dst, CASE WHEN rating % 2 = 1 THEN src ELSE 0 END AS masked, least(src, dst) AS less FROM graph")
 _on_graph("fixed_point", lambda g: g.select("src", "dst", scalar.fixed_multiply(scalar.fixed(F.col("src") / 8.0), scalar.fixed(F.col("dst") / 4.0)).alias("product")), "SELECT src, dst, src * dst * 2048 AS product FROM graph")
 _on_graph("piecewise_sigmoid", lambda g: g.select("src", "dst", scalar.piecewise_sigmoid((F.col("src") - F.col("dst")) / 1024.0).alias("y")), "SELECT src, dst, CASE WHEN (src - dst) / 1024.0::DOUBLE < -0.5 THEN 0.0::DOUBLE WHEN (src - dst) / 1024.0::DOUBLE > 0.5 THEN 1.0::DOUBLE ELSE (src - dst) / 1024.0::DOUBLE + 0.5::DOUBLE END AS y FROM graph")
@@ -273,29 +269,41 @@ _register("like_and_in", "SELECT c_custkey FROM customer WHERE c_name LIKE '%7'
 
 # Sets
 
-_HALVES = "a AS (SELECT DISTINCT src, src * 2 AS v FROM graph WHERE src % 2 = 0), b AS (SELECT DISTINCT src, src * 3 AS v FROM graph WHERE src % 3 = 0), c AS (SELECT DISTINCT src, src * 5 AS v FROM graph WHERE src % 5 = 0)"
+_KEYED = "WITH a AS (SELECT c_custkey AS k, CAST(1 AS BIGINT) AS v FROM customer), b AS (SELECT DISTINCT o_custkey AS k, CAST(2 AS BIGINT) AS v FROM orders), c AS (SELECT s_suppkey AS k, CAST(3 AS BIGINT) AS v FROM supplier)"
 
 
-def _part(g: DataFrame, n: int, factor: int) -> DataFrame:
-    return g.where(F.col("src") % n == 0).select("src", (F.col("src") * factor).alias("v")).distinct()
+def _keyed(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Customers, customers with orders, and suppliers as sets of keys."""
+    found = []
+    for v, (name, key) in enumerate((("customer", "c_custkey"), ("orders", "o_custkey"), ("supplier", "s_suppkey")), 1):
+        found.append(_read(spark, sf_dir, name).select(F.col(key).alias("k"), F.lit(v).cast("long").alias("v")).distinct())
+    return found
 
 
-_on_graph("set_intersect", lambda g: setops.intersect(_part(g, 2, 2), _part(g, 3, 3), "src"), f", {_HALVES} SELECT * FROM a WHERE src IN (SELECT src FROM b)")
-_on_graph("set_right_union", lambda g: setops.right_union(_part(g, 2, 2), _part(g, 3, 3), "src"), f", {_HALVES} SELECT * FROM b UNION ALL SELECT * FROM a WHERE src NOT IN (SELECT src FROM b)")
-_on_graph("set_threat_log", lambda g: setops.threat_log([_part(g, 2, 2), _part(g, 3, 3), _part(g, 5, 5)], "src"), f", {_HALVES} SELECT * FROM c UNION ALL SELECT * FROM b WHERE src NOT IN (SELECT src FROM c) UNION ALL SELECT * FROM a WHERE src NOT IN (SELECT src FROM b) AND src NOT IN (SELECT src FROM c)")
-_on_graph("set_cardinality", lambda g: setops.cardinality(_part(g, 2, 2), _part(g, 3, 3), "src"), f", {_HALVES} SELECT count(*) AS n, coalesce(sum(src), 0)::BIGINT AS key_sum FROM a WHERE src IN (SELECT src FROM b)")
+_register("set_intersect", f"{_KEYED} SELECT * FROM a WHERE k IN (SELECT k FROM b)", edges=False)(lambda spark, d: setops.intersect(*_keyed(spark, d)[:2], "k"))
+_register("set_right_union", f"{_KEYED} SELECT * FROM c UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM c)", edges=False)(lambda spark, d: setops.right_union(*_keyed(spark, d)[1:], "k"))
+_register("set_threat_log", f"{_KEYED} SELECT * FROM c UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM c) UNION ALL SELECT * FROM a WHERE k NOT IN (SELECT k FROM b) AND k NOT IN (SELECT k FROM c)", edges=False)(lambda spark, d: setops.threat_log(_keyed(spark, d), "k"))
+_register("set_cardinality", f"{_KEYED} SELECT count(*) AS n, coalesce(sum(k), 0)::BIGINT AS key_sum FROM a WHERE k IN (SELECT k FROM b)", edges=False)(lambda spark, d: setops.cardinality(*_keyed(spark, d)[:2], "k"))
 
 # Ranked enumeration
 
-_P2 = "SELECT DISTINCT a.src AS x, b.src AS y FROM graph a JOIN graph b ON a.dst = b.dst"
-_P3 = "SELECT DISTINCT a.src AS x, c.dst AS y FROM graph a JOIN graph b ON a.dst = b.dst JOIN graph c ON b.src = c.src"
-_P4 = "SELECT DISTINCT a.src AS x, d.src AS y FROM graph a JOIN graph b ON a.dst = b.dst JOIN graph c ON b.src = c.src JOIN graph d ON c.dst = d.dst"
-_S3 = "SELECT DISTINCT a.src AS x1, b.src AS x2, c.src AS x3 FROM graph a JOIN graph b ON a.dst = b.dst JOIN graph c ON a.dst = c.dst"
-for _name, _sql_text in (("path_three", _P3), ("path_four", _P4), ("star_two", _P2), ("union_2_4", f"{_P2} UNION {_P4}")):
-    _on_graph(f"enumerate_{_name}", lambda g, n=_name: ranked.ENUMERATIONS[n](g, 2000), f"SELECT *, x + y AS weight FROM ({_sql_text}) ORDER BY weight, x, y LIMIT 2000")
-_on_graph("enumerate_star_two_lex", lambda g: ranked.star_two_lex(g, 2000), f"{_P2} ORDER BY x, y LIMIT 2000")
-_on_graph("enumerate_star_three", lambda g: ranked.star_three(g, 2000), f"SELECT *, x1 + x2 + x3 AS weight FROM ({_S3}) ORDER BY weight, x1, x2, x3 LIMIT 2000")
-_on_graph("enumerate_star_three_lex", lambda g: ranked.star_three_lex(g, 2000), f"{_S3} ORDER BY x1, x2, x3 LIMIT 2000")
+_P2 = "SELECT DISTINCT a.src AS x, b.src AS y FROM supply a JOIN supply b ON a.dst = b.dst"
+_P3 = "SELECT DISTINCT p.x, c.dst AS y FROM p2 p JOIN supply c ON p.y = c.src"
+_P4 = "SELECT DISTINCT p.x, d.src AS y FROM p3 p JOIN supply d ON p.y = d.dst"
+_S3 = "SELECT DISTINCT a.src AS x1, b.src AS x2, c.src AS x3 FROM supply a JOIN supply b ON a.dst = b.dst JOIN supply c ON a.dst = c.dst"
+
+
+def _on_supply(name: str, function: Callable[[DataFrame], DataFrame], sql: str, dst: str = "l_partkey") -> None:
+    """Registers a query of the two-sided relation of suppliers and parts (or line numbers)."""
+    supply = f"WITH supply AS (SELECT DISTINCT l_suppkey AS src, {dst} AS dst FROM lineitem)" + ("" if "p2" not in sql and "p3" not in sql else f", p2 AS ({_P2}), p3 AS ({_P3})")
+    _register(name, f"{supply} {sql}", edges=False)(lambda spark, sf_dir: function(lineitem_graph(_read(spark, sf_dir, "lineitem"), "l_suppkey", dst)))
+
+
+for _name, _sql_text in (("path_three", _P3), ("path_four", _P4), ("star_two", _P2), ("union_2_4", f"SELECT * FROM p2 UNION {_P4}")):
+    _on_supply(f"enumerate_{_name}", lambda g, n=_name: ranked.ENUMERATIONS[n](g, 2000), f"SELECT *, x + y AS weight FROM ({_sql_text}) ORDER BY weight, x, y LIMIT 2000")
+_on_supply("enumerate_star_two_lex", lambda g: ranked.star_two_lex(g, 2000), f"{_P2} ORDER BY x, y LIMIT 2000")
+_on_supply("enumerate_star_three", lambda g: ranked.star_three(g, 2000), f"SELECT *, x1 + x2 + x3 AS weight FROM ({_S3}) ORDER BY weight, x1, x2, x3 LIMIT 2000", "l_linenumber")
+_on_supply("enumerate_star_three_lex", lambda g: ranked.star_three_lex(g, 2000), f"{_S3} ORDER BY x1, x2, x3 LIMIT 2000", "l_linenumber")
 for _n, _shape in ((2, "l2"), (3, "l3"), (4, "l4")):
     _on_graph(f"enumerate_path_{_n}_full", lambda g, n=_n: ranked.full_paths(g, n), _top(_shape, 35000))
 

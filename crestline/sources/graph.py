@@ -56,12 +56,12 @@ def write_nothing(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def lineitem_graph(lineitem: DataFrame, nodes: int = 2000) -> DataFrame:
-    """Distinct weighted edges between order and part numbers, folded to ``nodes`` ids.
+def lineitem_graph(lineitem: DataFrame, src: str = "l_orderkey", dst: str = "l_partkey") -> DataFrame:
+    """Distinct weighted edges between two numbers of all line items.
 
     The ids are declared free of nulls: else every join adds its own null
     filter below the aggregation, and self-joins can't share one scan and shuffle.
     """
-    known = lineitem.where("l_linenumber = 1 and l_orderkey is not null and l_partkey is not null")
-    folded = {n: F.coalesce(F.col(c) % nodes, F.lit(0).cast("long")).alias(n) for n, c in (("src", "l_orderkey"), ("dst", "l_partkey"))}
-    return with_generated_weight(known.select(*folded.values()).distinct())
+    known = lineitem.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    ends = {n: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(n) for n, c in (("src", src), ("dst", dst))}
+    return with_generated_weight(known.select(*ends.values()).distinct())
