@@ -248,7 +248,9 @@ _on_graph("segmented_copy", lambda g: segmented.segmented_copy(g, ["src"], "rati
 _on_graph("neighbour_equal", lambda g: segmented.neighbour_equal(g, "src", ["dst"], "same"), "SELECT src, dst, rating, CAST(coalesce(lag(src) OVER (ORDER BY src, dst) = src, false) AS INT) AS same FROM graph")
 _on_graph("unique_key_flag", lambda g: segmented.unique_key_flag(g, ["src"], ["rating", "dst"], "top"), "SELECT src, dst, rating, CAST(row_number() OVER (PARTITION BY src ORDER BY rating DESC, dst DESC) = 1 AS INT) AS top FROM graph")
 _on_graph("rank_in_key", lambda g: segmented.rank_in_key(g, ["src"], [F.desc("rating"), "dst"], start=0), "SELECT src, dst, rating, CAST(row_number() OVER (PARTITION BY src ORDER BY rating DESC, dst) - 1 AS INT) AS rnk FROM graph")
-_on_graph("compact", lambda g: segmented.compact(g.withColumn("flag", F.col("rating") % 3), "flag"), "SELECT *, rating % 3 AS flag FROM graph WHERE rating % 3 <> 0")
+_register("compact", "SELECT l_orderkey, CAST(round(l_discount * 100) AS BIGINT) AS discount FROM lineitem WHERE round(l_discount * 100) <> 0", edges=False)(
+    lambda spark, d: segmented.compact(_read(spark, d, "lineitem").select("l_orderkey", cents("l_discount").alias("discount")), "discount")
+)
 _on_graph("fill_forward", lambda g: segmented.fill_forward(g.withColumn("mark", F.when(F.col("rating") % 4 == 0, F.col("rating"))), "mark", ["src"], ["dst"], "last_mark"), "SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING) AS last_mark FROM (SELECT *, CASE WHEN rating % 4 = 0 THEN rating END AS mark FROM graph)")
 _on_graph("pack_key", lambda g: g.select("src", "dst", segmented.pack_key(F.col("src"), F.col("dst")).alias("packed"), segmented.unpack_key(segmented.pack_key(F.col("src"), F.col("dst")))[1].alias("low")), "SELECT src, dst, src * 4294967296 + dst AS packed, dst AS low FROM graph")
 _on_graph("alignment", lambda g: segmented.alignment(g.withColumn("degree", F.lit(2)), ["src"], ["dst"], "degree").select("src", "dst", "slot"), "SELECT src, dst, c * n + r AS slot FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r, count(*) OVER (PARTITION BY src) AS n FROM graph), (SELECT unnest([0, 1]) AS c)")
