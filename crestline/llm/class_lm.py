@@ -95,7 +95,7 @@ class Lookup:
 def _bounded(symbols: np.ndarray, bounds: np.ndarray, edge: int) -> np.ndarray:
     """Each text's symbols with ``edge`` before the first text and after every text: neighbours are adjacent."""
     n = len(bounds) - 1
-    out = np.full(len(symbols) + n + 1, edge, dtype=np.int64)
+    out = np.full(len(symbols) + n + 1, edge, dtype=symbols.dtype)
     out[1 + np.arange(len(symbols)) + np.repeat(np.arange(n), np.diff(bounds))] = symbols
     return out
 
@@ -202,22 +202,26 @@ def _block_words(core: Core):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         number = Lookup(core.words)
+        class_of = core.classes.astype(np.int16)
         learn = rows["learn"].combine_chunks().to_numpy(zero_copy_only=False)
-        lots, unseen, texts = [], [], []
+        lots, kinds, unseen, texts = [], [], [], []
         for first, end, data, offsets in slices(rows["text"]):
             hashes, bounds = word_hashes(data, offsets)
             use = np.repeat(learn[first:end], np.diff(bounds))
             unseen.append(np.unique(hashes[~use]))
-            kept = np.diff(bounds)[learn[first:end]]
+            texts.append(np.diff(bounds)[learn[first:end]])
             lots.append(hashes[use])
-            texts.append(kept)
+            kinds.append(class_of[number(lots[-1], len(core.words))])
         hashes = np.concatenate(lots) if lots else np.zeros(0, np.uint64)
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(texts))]).astype(np.int64) if texts else np.zeros(1, np.int64)
-        del lots
-        numbers = number(hashes, len(core.words))
-        around = _bounded(core.classes[numbers], bounds, k + 1).astype(np.int8)
-        place = 1 + np.arange(len(hashes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        before, after = around[place - 1], around[place + 1]
+        around = _bounded(np.concatenate(kinds) if kinds else np.zeros(0, np.int16), bounds, k + 1)
+        del lots, kinds
+        place = np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
+        place += np.arange(len(hashes))
+        after = around[place + 1]
+        place -= 1
+        before = around[place]
+        del place, around
         order = np.argsort(hashes, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])) if len(hashes) else np.zeros(0, np.int64)
         words = hashes[order][starts]
@@ -238,10 +242,11 @@ def _block_words(core: Core):
             at = stop
         fixed = number(words, -1)
         proposed = np.where(fixed >= 0, core.classes[fixed], proposed)
-        token_class = np.empty(len(hashes), dtype=np.int64)
-        token_class[order] = np.repeat(proposed, counts)
+        token_class = np.empty(len(hashes), dtype=np.int32)
+        token_class[order] = np.repeat(proposed.astype(np.int32), counts)
+        del order, hashes, before, after
         s = _bounded(token_class, bounds, k + 1)
-        bigrams = np.bincount(s[:-1] * (k + 2) + s[1:], minlength=(k + 2) ** 2) if len(bounds) > 1 else np.zeros((k + 2) ** 2, np.int64)
+        bigrams = np.bincount(s[:-1] * np.int32(k + 2) + s[1:], minlength=(k + 2) ** 2) if len(bounds) > 1 else np.zeros((k + 2) ** 2, np.int64)
         pairs = np.flatnonzero(bigrams)
         other = np.setdiff1d(np.unique(np.concatenate(unseen)) if unseen else words, words)
         n_rows = len(words) + len(other) + len(pairs)
