@@ -109,11 +109,9 @@ def star(graph: DataFrame, n: int, src: str = "src", dst: str = "dst", weight: s
 
 
 def fork(graph: DataFrame, src: str = "src", dst: str = "dst", weight: str = "rating") -> JoinTree:
-    """The four-edge tree A <- B <- C -> D, C -> E."""
-    r = Node(Relation.of("R", graph, {"C": src, "B": dst}, weight))
-    s = Node(Relation.of("S", graph, {"B": src, "A": dst}, weight))
-    t = Node(Relation.of("T", graph, {"C": src, "D": dst}, weight))
-    u = Node(Relation.of("U", graph, {"C": src, "E": dst}, weight))
-    r.children += [t, u]
-    s.children.append(r)
-    return JoinTree(s)
+    """Four edges: end <- mid <- hub, hub -> left, hub -> right."""
+    tail = Node(Relation.of("tail", graph, {"mid": src, "end": dst}, weight))
+    stem = Node(Relation.of("stem", graph, {"hub": src, "mid": dst}, weight))
+    stem.children += [Node(Relation.of(side, graph, {"hub": src, side: dst}, weight)) for side in ("left", "right")]
+    tail.children.append(stem)
+    return JoinTree(tail)

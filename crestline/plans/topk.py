@@ -104,7 +104,7 @@ def truncate_child(left: DataFrame, right: DataFrame, key: list[str], worth: Col
     return best_k(ranked, "_total", k, ranking).drop("_best", "_total")
 
 
-def naive(tree: JoinTree, k: int, ranking: Ranking = Ranking(), score: str = "total_rating") -> DataFrame:
+def naive(tree: JoinTree, k: int, ranking: Ranking = Ranking(), score: str = "score") -> DataFrame:
     """The whole join, sorted and cut: the plan to compare with."""
     root = tree.root.relation
     df = root.frame.withColumnRenamed("weight", "acc")
@@ -114,7 +114,7 @@ def naive(tree: JoinTree, k: int, ranking: Ranking = Ranking(), score: str = "to
     return _final(df, tree, k, ranking, score)
 
 
-def product_k(tree: JoinTree, k: int, ranking: Ranking = Ranking(), score: str = "total_rating") -> DataFrame:
+def product_k(tree: JoinTree, k: int, ranking: Ranking = Ranking(), score: str = "score") -> DataFrame:
     """The k best results, joining at most the k best rows (and ties) of both sides each time."""
     reduced = Reduced(tree, ranking)
     left, done = _start(reduced, k), [tree.root]
@@ -137,7 +137,7 @@ def levels(k: int, base: int) -> list[tuple[int, int]]:
     return out
 
 
-def level_k(tree: JoinTree, k: int, base: int = 32, ranking: Ranking = Ranking(), score: str = "total_rating") -> DataFrame:
+def level_k(tree: JoinTree, k: int, base: int = 32, ranking: Ranking = Ranking(), score: str = "score") -> DataFrame:
     """The k best results by rank bands; ``base`` sets their width."""
     reduced = Reduced(tree, ranking)
     left, done = _start(reduced, k), [tree.root]
@@ -166,7 +166,7 @@ def level_k(tree: JoinTree, k: int, base: int = 32, ranking: Ranking = Ranking()
     return _final(left, tree, k, ranking, score)
 
 
-def projected_k(tree: JoinTree, output: list[str], k: int, ranking: Ranking = Ranking(), score: str = "total_rating") -> DataFrame:
+def projected_k(tree: JoinTree, output: list[str], k: int, ranking: Ranking = Ranking(), score: str = "score") -> DataFrame:
     """The k best distinct values of ``output`` by their best score.
 
     Variables outside of ``output`` that only one relation holds are projected
@@ -192,7 +192,7 @@ def projected_k(tree: JoinTree, output: list[str], k: int, ranking: Ranking = Ra
     return grouped.orderBy(ranking.order(score), *output).limit(k)
 
 
-def digest(df: DataFrame, score: str = "total_rating") -> DataFrame:
+def digest(df: DataFrame, score: str = "score") -> DataFrame:
     """Smallest, largest and sum of the scores."""
     return df.agg(F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.sum(score).alias("sum_score"), F.count(F.lit(1)).alias("n"))
 

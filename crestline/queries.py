@@ -56,22 +56,30 @@ def cents(c: str):
 
 # Top-k over joins: each shape by the naive plan, product-k and level-k.
 
-SHAPES: dict[str, tuple[Callable[[DataFrame], JoinTree], str]] = {
-    "l2": (lambda g: line(g, 2), "SELECT R.src AS node1, S.src AS node2, S.dst AS node3, R.rating + S.rating AS total_rating FROM graph R, graph S WHERE R.dst = S.src"),
-    "l3": (lambda g: line(g, 3), "SELECT R.src AS node1, S.src AS node2, T.src AS node3, T.dst AS node4, R.rating + S.rating + T.rating AS total_rating FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src"),
-    "l4": (
-        lambda g: line(g, 4),
-        "SELECT R.src AS node1, S.src AS node2, T.src AS node3, U.src AS node4, U.dst AS node5, R.rating + S.rating + T.rating + U.rating AS total_rating FROM graph R, graph S, graph T, graph U WHERE R.dst = S.src AND S.dst = T.src AND T.dst = U.src",
-    ),
-    "star": (lambda g: star(g, 3), "SELECT R.src AS node1, R.dst AS node2, S.dst AS node3, T.dst AS node4, R.rating + S.rating + T.rating AS total_rating FROM graph R, graph S, graph T WHERE R.src = S.src AND R.src = T.src"),
-    "tree": (fork, "SELECT S.dst AS C0, S.src AS B, R.src AS C, T.dst AS D, U.dst AS E, R.rating + S.rating + T.rating + U.rating AS total_rating FROM graph R, graph S, graph T, graph U WHERE R.dst = S.src AND R.src = T.src AND R.src = U.src"),
+def _joined_sql(edges: list[tuple[str, str]], times: str = "+") -> tuple[str, str]:
+    """The whole join of edges (their ends named by variables) as SQL, and its order of columns."""
+    seen: dict[str, str] = {}
+    source = ""
+    for i, ends in enumerate(edges, 1):
+        met = [f"{seen[v]} = e{i}.{c}" for v, c in zip(ends, ("src", "dst"), strict=True) if v in seen]
+        source += f" JOIN {{graph}} e{i} ON {' AND '.join(met)}" if met else f"{{graph}} e{i}"
+        for v, c in zip(ends, ("src", "dst"), strict=True):
+            seen.setdefault(v, f"e{i}.{c}")
+    columns = ", ".join(f"{c} AS {v}" for v, c in seen.items())
+    score = f" {times} ".join(f"e{i}.rating" for i in range(1, len(edges) + 1))
+    return f"SELECT {columns}, {score} AS score FROM {source}", ", ".join(seen)
+
+
+SHAPES: dict[str, tuple[Callable[[DataFrame], JoinTree], list[tuple[str, str]]]] = {
+    **{f"l{n}": (lambda g, n=n: line(g, n), [(f"node{i}", f"node{i + 1}") for i in range(1, n + 1)]) for n in (2, 3, 4)},
+    "star": (lambda g: star(g, 3), [("node1", f"node{i}") for i in (2, 3, 4)]),
+    "tree": (fork, [("mid", "\"end\""), ("hub", "mid"), ("hub", "\"left\""), ("hub", "\"right\"")]),
 }
-_ORDER = {"l2": "node1, node2, node3", "l3": "node1, node2, node3, node4", "l4": "node1, node2, node3, node4, node5", "star": "node1, node2, node3, node4", "tree": "B, A, C, D, E"}
 
 
-def _top(shape: str, k: int, descending: bool = True) -> str:
-    sql = SHAPES[shape][1].replace("C0", "A")
-    return f"{sql} ORDER BY total_rating {'DESC' if descending else 'ASC'}, {_ORDER[shape]} LIMIT {k}"
+def _top(shape: str, k: int, descending: bool = True, times: str = "+", graph: str = "graph") -> str:
+    sql, order = _joined_sql(SHAPES[shape][1], times)
+    return f"{sql.replace('{graph}', graph)} ORDER BY score {'DESC' if descending else 'ASC'}, {order} LIMIT {k}"
 
 
 for _shape, (_build, _) in SHAPES.items():
@@ -86,21 +94,20 @@ for _k, _base in ((8, 4), (64, 32), (256, 32), (4096, 32), (16384, 32), (32768,
     _on_graph(f"topk_l3_k{_k}_product_k", lambda g, k=_k: product_k(line(g, 3), k), _top("l3", _k))
     _on_graph(f"topk_l3_k{_k}_level_k", lambda g, k=_k, b=_base: level_k(line(g, 3), k, b), _top("l3", _k))
 
-_SMALL = "small AS (SELECT src, dst, rating % 1000 AS rating FROM graph)"
-for _best, _way in ((MAX, "DESC"), (MIN, "ASC")):
+for _best in (MAX, MIN):
     _on_graph(
         f"topk_l3_mul_{_best.name.lower()}",
         lambda g, b=_best: product_k(line(g.withColumn("rating", F.col("rating") % 1000), 3), 200, Ranking(MUL, b)),
-        f", {_SMALL} SELECT R.src AS node1, S.src AS node2, T.src AS node3, T.dst AS node4, R.rating * S.rating * T.rating AS total_rating FROM small R, small S, small T WHERE R.dst = S.src AND S.dst = T.src ORDER BY total_rating {_way}, node1, node2, node3, node4 LIMIT 200",
+        f", small AS (SELECT src, dst, rating % 1000 AS rating FROM graph) {_top('l3', 200, _best is MAX, '*', 'small')}",
     )
 
 _on_graph(
     "topk_l3_projected",
     lambda g: projected_k(line(g, 3), ["node2", "node3", "node4"], K),
-    f"SELECT S.src AS node2, T.src AS node3, T.dst AS node4, max(R.rating + S.rating + T.rating) AS total_rating FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src GROUP BY 1, 2, 3 ORDER BY total_rating DESC, node2, node3, node4 LIMIT {K}",
+    f"SELECT node2, node3, node4, max(score) AS score FROM ({_joined_sql(SHAPES['l3'][1])[0].replace('{graph}', 'graph')}) GROUP BY ALL ORDER BY score DESC, node2, node3, node4 LIMIT {K}",
 )
-_on_graph("topk_digest", lambda g: digest(product_k(line(g, 4), K)), f"SELECT min(total_rating) AS min_score, max(total_rating) AS max_score, sum(total_rating)::BIGINT AS sum_score, count(*) AS n FROM ({_top('l4', K)})")
-_on_graph("topk_checksum", lambda g: checksum(level_k(line(g, 2), K), ["node1", "node2", "node3", "total_rating"]), f"SELECT sum(node1 + node2 + node3 + total_rating)::BIGINT AS checksum FROM ({_top('l2', K)})")
+_on_graph("topk_digest", lambda g: digest(product_k(line(g, 4), K)), f"SELECT min(score) AS min_score, max(score) AS max_score, sum(score)::BIGINT AS sum_score, count(*) AS n FROM ({_top('l4', K)})")
+_on_graph("topk_checksum", lambda g: checksum(level_k(line(g, 2), K), ["node1", "node2", "node3", "score"]), f"SELECT sum(node1 + node2 + node3 + score)::BIGINT AS checksum FROM ({_top('l2', K)})")
 
 
 def _market(spark: SparkSession, sf_dir: str) -> JoinTree:
@@ -111,8 +118,8 @@ def _market(spark: SparkSession, sf_dir: str) -> JoinTree:
     return JoinTree.build([c, o, li, p], "customer")
 
 
-_MARKET = """SELECT c_custkey, o_orderkey, p_partkey, CAST(round(c_acctbal * 100) AS BIGINT) + CAST(round(o_totalprice * 100) AS BIGINT) + CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(round(p_retailprice * 100) AS BIGINT) AS total_rating
-    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey ORDER BY total_rating DESC, c_custkey, o_orderkey, p_partkey LIMIT 500"""
+_MARKET = """SELECT c_custkey, o_orderkey, p_partkey, CAST(round(c_acctbal * 100) AS BIGINT) + CAST(round(o_totalprice * 100) AS BIGINT) + CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(round(p_retailprice * 100) AS BIGINT) AS score
+    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey ORDER BY score DESC, c_custkey, o_orderkey, p_partkey LIMIT 500"""
 _register("topk_market_product_k", _MARKET, edges=False)(lambda spark, sf_dir: product_k(_market(spark, sf_dir), 500))
 _register("topk_market_level_k", _MARKET, edges=False)(lambda spark, sf_dir: level_k(_market(spark, sf_dir), 500, 16))
 
@@ -175,7 +182,7 @@ def _triangles(g: DataFrame) -> DataFrame:
     return product_k(JoinTree.build([cycle, Relation.of("U", g, {"a": "src", "d": "dst"}, "rating")]), 100)
 
 
-_on_graph("bag_cycle_topk", _triangles, "SELECT R.src AS a, R.dst AS b, S.dst AS c, U.dst AS d, R.rating + S.rating + T.rating + U.rating AS total_rating FROM graph R, graph S, graph T, graph U WHERE R.dst = S.src AND S.dst = T.src AND T.dst = R.src AND U.src = R.src ORDER BY total_rating DESC, a, b, c, d LIMIT 100")
+_on_graph("bag_cycle_topk", _triangles, "SELECT R.src AS a, R.dst AS b, S.dst AS c, U.dst AS d, R.rating + S.rating + T.rating + U.rating AS score FROM graph R, graph S, graph T, graph U WHERE R.dst = S.src AND S.dst = T.src AND T.dst = R.src AND U.src = R.src ORDER BY score DESC, a, b, c, d LIMIT 100")
 _on_graph("auxiliary_view", lambda g: reducer.auxiliary(Relation.of("R", g, {"a": "src", "b": "dst"}, "rating"), ["a"], "aux", F.col("weight") >= 100000).frame, "SELECT DISTINCT src AS a, CAST(0 AS BIGINT) AS weight FROM graph WHERE rating >= 100000")
 _on_graph("table_agg", lambda g: reducer.table_agg(g, g.select(F.col("src").alias("dst"), F.col("rating").alias("r")), ["dst"], {"n": F.count(F.lit(1)), "top": F.max("r")}).select("src", "dst", "n", "top"), "SELECT g.src, g.dst, n, top FROM graph g JOIN (SELECT src AS k, count(*) AS n, max(rating) AS top FROM graph GROUP BY src) ON g.dst = k")
 
