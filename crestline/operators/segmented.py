@@ -10,15 +10,17 @@ def _running(order: list[str], key: list[str] | None = None):
     return (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def prefix_sum(df: DataFrame, value: str, order: list[str], new: str, buckets: int = 64) -> DataFrame:
+def prefix_sum(df: DataFrame, value: str, order: list[str], new: str, buckets: int | None = None) -> DataFrame:
     """Inclusive running sum over the whole table, without one task that sees it all.
 
     Rows are dealt to ranges of the first order column (equal values stay
     together); ranges are summed up, and each range's running sum starts
-    from the sum of those before it.
+    from the sum of those before it. There are as many ranges as shuffle
+    partitions unless ``buckets`` says otherwise.
     """
     first = order[0]
-    edges = df.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 1000).alias("e"))
+    buckets = max(2, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = df.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], max(1000, 10 * buckets)).alias("e"))
     ranged = df.crossJoin(F.broadcast(edges)).withColumn("_r", F.size(F.filter("e", lambda x: x < F.col(first)))).drop("e")
     before = ranged.groupBy("_r").agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     return ranged.withColumn(new, F.sum(value).over(_running(order, ["_r"]))).join(before, "_r").withColumn(new, F.col(new) + F.col("_before")).drop("_r", "_before")
