@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jointree import JoinTree, Node
+from .semiring import Ranking
+from .topk import naive, product_k
 
 
 @dataclass(frozen=True)
@@ -66,3 +68,14 @@ def aggregate_join(tree: JoinTree, group: list[str], aggregates: list[Aggregate]
         }[a.function]()
         out.append(column.alias(a.alias))
     return df.groupBy(*group).agg(*out) if group else df.agg(*out)
+
+
+def join_size(tree: JoinTree) -> int:
+    """Number of results of the join, by aggregation alone."""
+    return aggregate_join(tree, [], [Aggregate("COUNT", "n")]).first()["n"] or 0
+
+
+def top_k(tree: JoinTree, k: int, ranking: Ranking = Ranking(), small: int = 1_000_000, score: str = "score") -> DataFrame:
+    """The k best results by the plan that suits the join's measured size: whole joins of up to ``small`` results are just sorted."""
+    method = naive if join_size(tree) <= small else product_k
+    return method(tree, k, ranking, score)

@@ -13,7 +13,7 @@ from .ml import regression
 from .operators import joins, ranked, segmented, setops, table
 from .plans import reducer
 from .plans import sql as ranked_sql
-from .plans.eager import Aggregate, aggregate_join
+from .plans.eager import Aggregate, aggregate_join, top_k
 from .plans.jointree import JoinTree, Relation, fork, line, star
 from .plans.semiring import ADD, MAX, MIN, MUL, Ranking
 from .plans.topk import Reduced, checksum, digest, level_k, naive, product_k, projected_k, truncate_child
@@ -88,6 +88,8 @@ for _shape, (_build, _) in SHAPES.items():
     _on_graph(f"topk_{_shape}_level_k", lambda g, b=_build: level_k(b(g), K, 32), _top(_shape, K))
     _on_graph(f"topk_{_shape}_ascending", lambda g, b=_build: product_k(b(g), 100, Ranking(ADD, MIN)), _top(_shape, 100, False))
 
+for _shape in ("l2", "l4"):
+    _on_graph(f"topk_{_shape}_auto", lambda g, b=SHAPES[_shape][0]: top_k(b(g), K), _top(_shape, K))
 for _base in (8, 16, 64):
     _on_graph(f"topk_l4_level_k_base{_base}", lambda g, b=_base: level_k(line(g, 4), K, b), _top("l4", K))
 for _k, _base in ((8, 4), (64, 32), (256, 32), (4096, 32), (16384, 32), (32768, 32)):

@@ -79,6 +79,15 @@ def test_empty_and_dangling(spark):
         assert rows(method(line(g.where("false"), 3), 5)) == []
 
 
+def test_choice_by_size(spark):
+    from crestline.plans.eager import join_size, top_k
+
+    tree = line(graph(spark, 3), 3)
+    assert join_size(tree) == naive(tree, 10**6).count()
+    assert rows(top_k(tree, 9)) == rows(top_k(tree, 9, small=0)) == rows(naive(tree, 9))
+    assert join_size(line(graph(spark, 3).where("false"), 2)) == 0
+
+
 def test_levels():
     assert levels(1024, 32) == [(0, 32), (32, 1024)]
     assert levels(8, 4) == [(0, 4), (4, 8)]
