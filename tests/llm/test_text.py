@@ -328,3 +328,84 @@ def test_checksums(spark):
 def test_pii_is_native(spark, nasty):
     plan = find_pii(nasty.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan.split("InMemory")[0]
+
+
+# The registered queries on the test tables
+
+
+@pytest.fixture(scope="module")
+def tables():
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("test tables are needed")
+    return "/root/testdata/sf0.01"
+
+
+def test_held_out_quality(spark, tables):
+    from crestline.llm.queries import op1_quality
+
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    rows = op1_quality(spark, tables).where("held_out").join(labels, "doc_id").collect()
+    assert len(rows) > 50 and np.mean([x["predicted"] == x["quality"] for x in rows]) > 0.95
+
+
+def test_held_out_languages(spark, tables):
+    from crestline.llm.queries import op5_language
+
+    truth = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "lang")
+    rows = op5_language(spark, tables).where("held_out").join(truth, "doc_id").collect()
+    assert len(rows) > 200 and np.mean([x["lang_pred"] == x["lang"] for x in rows]) > 0.98
+
+
+def test_held_out_perplexity(spark, tables):
+    from crestline.llm.queries import op7_class_lm
+
+    rows = op7_class_lm(spark, tables).where("held_out").collect()
+    assert sum(x["score"] for x in rows) > sum(x["base_score"] for x in rows)
+
+
+def test_token_query_against_full_encoding(spark, tables):
+    from crestline.llm.queries import op2_token_counts
+
+    count = counter(read_ranks())
+    texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    for x in op2_token_counts(spark, tables).collect():
+        text = texts[x["doc_id"]]
+        n = len(text)
+        cut = text[: n // 3] + text[n // 3 + min(16, n - n // 3) :]
+        at = min(2 * n // 3, len(cut))
+        edited = cut[:at] + " [edited]" + cut[at:]
+        assert (x["n_tokens"], x["edited_tokens"], x["edited_chars"]) == (count(text), count(edited), len(edited))
+
+
+def test_near_query_against_brute_force(spark, tables):
+    """All pairs by an exact prefix filter over the whole table."""
+    from collections import defaultdict
+
+    from crestline.llm.queries import op10_near_dedup
+
+    sets, order = {}, Counter()
+    for x in spark.read.parquet(f"{tables}/documents.parquet").collect():
+        w = TOKENS.findall((x["text"] or "").translate(LOWER))
+        sets[x["doc_id"]] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        order.update(sets[x["doc_id"]])
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    lists = defaultdict(list)
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        held = sorted(sets[i], key=lambda g: (order[g], g))
+        for g in held[: len(held) - (4 * len(held) + 4) // 5 + 1]:
+            for j in lists[g]:
+                both = len(sets[i] & sets[j])
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = find(i), find(j)
+                    up[max(a, b)] = min(a, b)
+            lists[g].append(i)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in op10_near_dedup(spark, tables).collect()}
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
