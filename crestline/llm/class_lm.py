@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .textvec import slices, word_hashes
 
 CORE = 512
@@ -179,7 +179,7 @@ class Core:
 
 def fit_core(training: DataFrame, core: int, rare: int, classes: int) -> tuple[Core, int, int]:
     """(core, words, texts) of ``training`` (one column of text)."""
-    listed = training.mapInArrow(_frequent(rare), "kind long, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("kind"), F.desc("n"), "word").limit(core + 2).toArrow().to_pydict()
+    listed = small_batches(training).mapInArrow(_frequent(rare), "kind long, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("kind"), F.desc("n"), "word").limit(core + 2).toArrow().to_pydict()
     totals = {k: n for k, n in zip(listed["kind"], listed["n"], strict=True) if k}
     words = np.array([w for k, w in zip(listed["kind"], listed["word"], strict=True) if not k], dtype=np.int64).view(np.uint64)
     size = len(words) + 2

@@ -76,6 +76,19 @@ def joined_hot(rows: DataFrame, groups: DataFrame, on: list[str], how: str) -> D
     return rows.join(groups.hint("rebalance"), on, how)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after holding the session's Arrow batches to BATCH_BYTES, so long texts don't add up in a worker."""
+    conf = df.sparkSession.conf
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+    if now != str(BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs of anything but 0x20 and 0x09-0x0D); 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textvec import slices
 
 BUCKET_BITS = 13
@@ -129,24 +130,19 @@ def _counter(languages: list[str]):
     return run
 
 
-def _scorer(model: LanguageModel, ids):
+def _scorer(model: LanguageModel, text_at: int, carried: dict[int, str]):
+    """Rows with a text and, last, whether it has a letter, to the ``carried`` columns, lang_pred, score, ambiguous."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
         for batch in batches:
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, end, data, offsets in slices(batch.column(1), _SLICE):
+            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            for first, end, data, offsets in slices(batch.column(text_at), _SLICE):
                 best, top, second = model.decode(model.margins(data, offsets))
                 has = letters[first:end]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, end - first),
-                        pa.array(np.where(has, names[best], UNKNOWN), pa.string()),
-                        pa.array(np.where(has, top, 0.0)),
-                        pa.array(np.where(has, top - second < CLOSE, True)),
-                        *[batch.column(i).slice(first, end - first) for i in range(3, 3 + len(ids))],
-                    ],
-                    names=["doc_id", "lang_pred", "score", "ambiguous", *ids],
-                )
+                found = [pa.array(np.where(has, names[best], UNKNOWN), pa.string()), pa.array(np.where(has, top, 0.0)), pa.array(np.where(has, top - second < CLOSE, True))]
+                kept = [batch.column(i).slice(first, end - first) for i in carried]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=[*carried.values(), "lang_pred", "score", "ambiguous"])
 
     return run
 
@@ -168,7 +164,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     languages = sorted(listed)
     if not languages:
         return None
-    counted = rows.mapInArrow(_counter(languages), "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = small_batches(rows).mapInArrow(_counter(languages), "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     counts[counted["language"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
@@ -192,21 +188,27 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return model
 
 
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, ambiguous (and ``extra``)."""
     extra = extra or {}
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letters"), *[c.alias(k) for k, c in extra.items()])
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in extra.items()], F.col(text_col).alias("_text"), _has_letter(F.col(text_col)).alias("_letters"))
     if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"), *extra)
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(_scorer(model, list(extra)), f"doc_id {types['doc_id']}, lang_pred string, score double, ambiguous boolean" + "".join(f", {k} {types[k]}" for k in extra))
+        return rows.select("doc_id", *extra, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    carried, types = ["doc_id", *extra], dict(rows.dtypes)
+    schema = "".join(f"{k} {types[k]}, " for k in carried) + "lang_pred string, score double, ambiguous boolean"
+    return small_batches(rows).mapInArrow(_scorer(model, len(carried), dict(enumerate(carried))), schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """The documents with a letter whose language isn't ambiguous, with all their columns."""
-    columns = docs.columns
-    wide = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    named = f"c{columns.index(text_col)}"
-    marked = identify(wide, model, named, named, {f"k{i}": F.col(f"c{i}") for i in range(len(columns))})
-    return marked.where(F.col("lang_pred") != UNKNOWN).where("not ambiguous").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
+    if model is None:
+        return docs.where("false")
+    names = {i: f"c{i}" for i in range(len(docs.columns))}
+    wide = docs.select(*[F.col(f"`{c}`").alias(names[i]) for i, c in enumerate(docs.columns)], _has_letter(F.col(text_col)).alias("letters"))
+    schema = "".join(f"{k} {t}, " for k, t in wide.dtypes[:-1]) + "lang_pred string, score double, ambiguous boolean"
+    marked = small_batches(wide).mapInArrow(_scorer(model, docs.columns.index(text_col), names), schema)
+    return marked.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*[F.col(names[i]).alias(c) for i, c in enumerate(docs.columns)])

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .page_blocks import Block, blocks
 from .page_training import labelled_pages
 
@@ -167,4 +168,4 @@ def extract(pages: DataFrame, model: Field | None = None, id_col: str = "page_id
     """One row per page: page_id, url, text, n_chars (code points)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     types = dict(rows.dtypes)
-    return rows.mapInArrow(_extractor(model or trained(), ["page_id", "url"]), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return small_batches(rows).mapInArrow(_extractor(model or trained(), ["page_id", "url"]), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, packed, stored
+from .common import joined_hot, packed, small_batches, stored
 from .components import components
 from .textvec import distinct, keyed, mix, row_reduce, shingles, slices, word_hashes
 
@@ -168,7 +168,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash (of the text)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
-    signed = stored(named.mapInArrow(_signer(width, coordinates), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, n long, a long, b long, signature binary"), "near-rows")
+    signed = stored(small_batches(named).mapInArrow(_signer(width, coordinates), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, n long, a long, b long, signature binary"), "near-rows")
     key = ["n", "a", "b"]
     # one node for each distinct set; the written table fixes its number
     classes = stored(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
@@ -196,7 +196,7 @@ def near_duplicates(
     carried = named.join(picked.hint("rebalance"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "inner")
     texts = stored(carried.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     probes = joined_hot(joined_hot(pairs, texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), ["pivot"], "inner"), texts, ["node"], "inner")
-    probed = stored(probes.select("pivot", "node", "pivot_text", "text").mapInArrow(_prober(width), "pivot long, node long, shared long, total long, difference binary"), "near-probed")
+    probed = stored(small_batches(probes.select("pivot", "node", "pivot_text", "text")).mapInArrow(_prober(width), "pivot long, node long, shared long, total long, difference binary"), "near-probed")
     links = probed.where(F.col("shared") * 100 >= F.col("total") * percent).select(F.col("node").alias("hi"), F.col("pivot").alias("lo"))
     roots = components(links)
 

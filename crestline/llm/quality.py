@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textvec import row_reduce, slices, word_hashes, words
 
 SAMPLE = 20_000
@@ -101,7 +102,7 @@ def with_statistics(docs: DataFrame, text_col: str, carried: dict[str, Column])
     """``carried`` columns and STATISTICS of every row's text."""
     rows = docs.select(F.col(text_col).alias("_text"), *[c.alias(k) for k, c in carried.items()])
     types = dict(rows.dtypes)
-    return rows.mapInArrow(_measured(list(carried)), ", ".join([*(f"{k} {types[k]}" for k in carried), *(f"{s} double" for s in STATISTICS)]))
+    return small_batches(rows).mapInArrow(_measured(list(carried)), ", ".join([*(f"{k} {types[k]}" for k in carried), *(f"{s} double" for s in STATISTICS)]))
 
 
 @dataclass(frozen=True)

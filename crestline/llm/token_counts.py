@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot
+from .common import joined_hot, small_batches
 from .token_tree import TokenTree, counter
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -69,7 +69,7 @@ def _edited(ranks, with_leaves: bool):
 
 def _counted(rows: DataFrame, ranks: bytes, with_leaves: bool) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(ranks)
-    return rows.mapInArrow(_edited(sent, with_leaves), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, n_leaves long, edited_tokens long, reencoded_chars long, edited_chars long, leaf_chars array<int>, leaf_tokens array<int>")
+    return small_batches(rows).mapInArrow(_edited(sent, with_leaves), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, n_leaves long, edited_tokens long, reencoded_chars long, edited_chars long, leaf_chars array<int>, leaf_tokens array<int>")
 
 
 def count_edited(docs: DataFrame, edits: Column, ranks: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
