@@ -166,7 +166,7 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, least_matches: int = LEAST_MATCHES, block: int = BLOCK
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and text_hash (of the text)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (of the text), and root (one number for each group; null without shingles)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     signed = stored(small_batches(named).mapInArrow(_signer(width, coordinates), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, n long, a long, b long, signature binary"), "near-rows")
     key = ["n", "a", "b"]
@@ -220,19 +220,23 @@ def near_duplicates(
 
     placed_classes = _with_roots(classes.select(*key, "node", "first"), roots)
     smallest = placed_classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    answers = joined_hot(placed_classes.select(*key, "root"), smallest, ["root"], "inner").select(*key, "component_id")
+    answers = joined_hot(placed_classes.select(*key, "root"), smallest, ["root"], "inner").select(*key, "root", "component_id")
     found = joined_hot(signed.select("doc_id", "text_hash", *key), answers, key, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
     found = near_duplicates(docs, **options)
     text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
-    stay = stored(found.where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows")), "near-kept")
+    # ids can repeat or be null, so a group is known by its root; its kept rows share one id
+    of_groups = found.where("kept and n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows")).drop("root")
+    # rows without shingles are groups of their own, and all stay
+    alone = found.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows")).distinct()
+    stay = stored(of_groups.unionByName(alone), "near-kept")
     keyed = packed(docs, id=F.col(id_col), hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     hit = keyed.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
-    # rows that share an id and a component: the one with the least text hash stays, once
+    # kept rows of one group: the one with the least text hash stays, once
     many = hit.where("rows > 1").dropDuplicates(["id", "hash"])
     return hit.where("rows = 1").select("row.*").unionByName(many.select("row.*"))

@@ -3,7 +3,7 @@
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -119,6 +119,28 @@ def test_near_drop(nasty, empty, spark):
     assert drop_near_duplicates(alone).count() == 2
 
 
+def test_near_drop_keeps_one_row_of_each_group(spark):
+    """Null and repeated ids: groups that have an id in common, or none, stay apart."""
+    r = random.Random(4)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    base, other, third = text(), text(), text()
+    # groups: four unlinked null ids; a null pair of copies; a null id linked with 7; unrelated texts of id 3, one with a partner; repeated rows; blanks
+    rows = [(None, text()) for _ in range(4)] + [(None, base), (None, base), (None, base.upper()), (7, other), (None, other)]
+    rows += [(3, text()), (3, text()), (3, third), (9, third), (3, third.replace(" ", "  ")), (5, "same row"), (5, "same row"), (None, None), (None, ""), (6, " "), (6, " ")]
+    left = [tuple(x) for x in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    sets = shingle_sets(rows, 5)
+    # texts are either unrelated or of one set, so that a set is a group
+    groups = Counter((frozenset(s),) if s else (i,) for i, s in enumerate(sets))
+    kept = shingle_sets(left, 5)
+    assert Counter(frozenset(s) for s in kept if s) == Counter({g[0]: 1 for g in groups if g[0] in map(frozenset, sets)})
+    assert len(left) == len(groups) and sum(not s for s in kept) == 4
+    assert set(left) <= set(rows)
+    for i, t in left:
+        if shingle_sets([(i, t)], 5)[0]:
+            ids = [x for (x, _), s in zip(rows, sets, strict=True) if s == shingle_sets([(i, t)], 5)[0] and x is not None]
+            assert i == (min(ids) if ids else None)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
