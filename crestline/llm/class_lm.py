@@ -9,8 +9,10 @@ Training, all counts over all training texts:
 3. Documents are dealt to blocks of about ``block_bytes``. In every block all
    other words propose the class that suits their neighbours best (one exchange
    step); blocks vote by their counts, so every word of the corpus has a count and
-   a class. The class bigrams of all training tokens are summed up as well.
-4. Every block meets the counts and classes of just its own words, and its
+   a class.
+4. Every block meets the voted classes of just its own words; the class bigrams
+   of all training tokens are counted by them and summed up.
+5. Every block meets the counts and classes of just its own words, and its
    texts are scored.
 
 P(word | class before) = mix * P(class | class before) * count / count of class
@@ -197,7 +199,7 @@ def fit_core(training: DataFrame, core: int, rare: int, classes: int) -> tuple[C
 
 
 def _block_words(core: Core):
-    """A block's rows (text, learn) to (block, kind, word, n, class): kind 0 a word with its training count and proposed class, kind 1 a class bigram."""
+    """A block's rows (text, learn) to (block, word, n, class): each word with its training count and proposed class."""
     k = core.n_classes
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -242,27 +244,37 @@ def _block_words(core: Core):
             at = stop
         fixed = number(words, -1)
         proposed = np.where(fixed >= 0, core.classes[fixed], proposed)
-        token_class = np.empty(len(hashes), dtype=np.int32)
-        token_class[order] = np.repeat(proposed.astype(np.int32), counts)
-        del order, hashes, before, after
-        s = _bounded(token_class, bounds, k + 1)
-        bigrams = np.bincount(s[:-1] * np.int32(k + 2) + s[1:], minlength=(k + 2) ** 2) if len(bounds) > 1 else np.zeros((k + 2) ** 2, np.int64)
-        pairs = np.flatnonzero(bigrams)
         other = np.setdiff1d(np.unique(np.concatenate(unseen)) if unseen else words, words)
-        n_rows = len(words) + len(other) + len(pairs)
         return pa.table(
             {
-                "block": np.full(n_rows, key[0].as_py(), dtype=np.int64),
-                "kind": np.concatenate([np.zeros(len(words) + len(other), np.int32), np.ones(len(pairs), np.int32)]),
-                "word": np.concatenate([words.view(np.int64), other.view(np.int64), pairs]),
-                "n": np.concatenate([counts, np.zeros(len(other), np.int64), bigrams[pairs]]),
-                "class": np.concatenate([proposed, np.full(len(other), -1), np.full(len(pairs), -1)]).astype(np.int32),
+                "block": np.full(len(words) + len(other), key[0].as_py(), dtype=np.int64),
+                "word": np.concatenate([words.view(np.int64), other.view(np.int64)]),
+                "n": np.concatenate([counts, np.zeros(len(other), np.int64)]),
+                "class": np.concatenate([proposed, np.full(len(other), -1)]).astype(np.int32),
             }
         )
 
     return run
 
 
+def _class_bigrams(k: int):
+    """A block's training texts and its words with their voted classes to (pair, n): counts of class bigrams."""
+
+    def run(key: tuple, rows: pa.Table, words: pa.Table) -> pa.Table:
+        number = Lookup(words["word"].to_numpy().view(np.uint64))
+        of = words["class"].to_numpy().astype(np.int16)
+        total = np.zeros((k + 2) ** 2, dtype=np.int64)
+        for _, _, data, offsets in slices(rows["text"]):
+            hashes, bounds = word_hashes(data, offsets)
+            # every training word has a class
+            s = _bounded(of[number(hashes, -1)], bounds, k + 1).astype(np.int32)
+            total += np.bincount(s[:-1] * np.int32(k + 2) + s[1:], minlength=(k + 2) ** 2)
+        at = np.flatnonzero(total)
+        return pa.table({"pair": at, "n": total[at]})
+
+    return run
+
+
 @dataclass
 class ClassModel:
     n_tokens: int
@@ -320,35 +332,36 @@ def score_texts(
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     blocked = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block_bytes)))))
 
-    found = blocked.groupBy("block").applyInArrow(_block_words(fitted), "block long, kind int, word long, n long, class int")
-    by_word = Window.partitionBy("kind", "word")
+    found = blocked.groupBy("block").applyInArrow(_block_words(fitted), "block long, word long, n long, class int")
+    by_word = Window.partitionBy("word")
     voted = (
-        found.repartition("kind", "word")
-        .withColumn("votes", F.sum("n").over(Window.partitionBy("kind", "word", "class")))
+        found.repartition("word")
+        .withColumn("votes", F.sum("n").over(Window.partitionBy("word", "class")))
         .withColumn("total", F.sum("n").over(by_word))
         .withColumn("chosen", F.max(F.when(F.col("class") >= 0, F.struct("votes", (-F.col("class")).alias("c")))).over(by_word))
         .withColumn("first", F.row_number().over(by_word.orderBy("class", "block")) == 1)
-        .select("block", "kind", "word", F.col("total").alias("n"), F.coalesce(-F.col("chosen.c"), F.lit(-1)).alias("class"), "first")
+        .select("block", "word", F.col("total").alias("n"), F.coalesce(-F.col("chosen.c"), F.lit(-1)).alias("class"), "first")
     )
     words = stored(voted, "lm-words")
-    summed = words.where("first and n > 0").groupBy("kind", F.when(F.col("kind") == 0, F.col("class").cast("long")).otherwise(F.col("word")).alias("what")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    here = words.where("n > 0").select("block", "word", "n", "class")
+    summed = words.where("first and n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
     class_counts = np.zeros(classes)
     pairs = np.zeros((classes + 2, classes + 2))
     distinct, once = 0, 0
     for r in summed:
-        if r["kind"] == 0:
-            class_counts[r["what"]] = r["n"]
-            distinct += r["distinct"]
-            once += r["once"]
-        else:
-            pairs[divmod(r["what"], classes + 2)] = r["n"]
+        class_counts[r["class"]] = r["n"]
+        distinct += r["distinct"]
+        once += r["once"]
+    # by the voted classes, which are known only now: the same ones that score
+    bigrams = blocked.where("learn").select("block", "text").groupBy("block").cogroup(here.select("block", "word", "class").groupBy("block")).applyInArrow(_class_bigrams(classes), "pair long, n long")
+    for r in bigrams.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[divmod(r["pair"], classes + 2)] = r["n"]
     pairs[classes] = pairs.sum(axis=0)
     pairs[:, [*np.flatnonzero(class_counts > 0), classes + 1]] += 0.1
     pairs[:, classes] = 0
     if mix is None:  # words seen once tell how often a new one comes
         mix = min(0.99, max(0.5, 1 - once / max(1, n_words)))
     model = ClassModel(n_words + n_texts, distinct + (n_texts > 0), n_texts, pairs / pairs.sum(axis=1, keepdims=True), class_counts, mix)
-    here = words.where("kind = 0 and n > 0").select("block", "word", "n", "class")
     types = dict(named.dtypes)
     scored = blocked.select("block", "doc_id", "text").groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_scorer(model), f"doc_id {types['doc_id']}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

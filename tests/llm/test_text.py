@@ -280,6 +280,53 @@ def test_classes_beat_the_base_on_held_out_texts(spark):
 # Personal data
 
 
+def test_class_bigrams_follow_the_voted_classes(spark, monkeypatch):
+    """Many blocks disagree about classes; all scores equal those of one model counted by the voted classes."""
+    from crestline.llm import class_lm
+
+    written, stored = {}, class_lm.stored
+    monkeypatch.setattr(class_lm, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
+    r = random.Random(8)
+    rows = [(i, " ".join(f"{r.choice('ab')}{int(r.random() ** 3 * 40)}" for _ in range(r.randrange(30)))) for i in range(200)] + [(None, None)]
+    k, mix = 4, 0.9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = score_texts(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 0, core=6, rare=1000, classes=k, mix=mix, block_bytes=700).collect()
+    table = written["lm-words"]
+    table = [x for x in table.collect() if x["n"] > 0 and not ("kind" in table.columns and x["kind"])]
+    assert len({x["block"] for x in table}) > 10
+    voted = {x["word"]: (x["n"], x["class"]) for x in table}
+    assert len({(x["word"], x["class"]) for x in table}) == len(voted)
+    import pyarrow as pa
+
+    def words_of(text):
+        _, _, data, offsets = next(iter(slices(pa.array([text or ""]))))
+        return class_lm.word_hashes(data, offsets)[0].view(np.int64).tolist()
+
+    learnt = [words_of(t) for i, t in rows if (i or 0) % 5]
+    counts = Counter(w for t in learnt for w in t)
+    assert {w: n for w, (n, _) in voted.items()} == counts
+    of_class = Counter()
+    pairs = np.zeros((k + 2, k + 2))
+    for t in learnt:
+        s = [k + 1, *(voted[w][1] for w in t), k + 1]
+        of_class.update(s[1:-1])
+        for x, y in zip(s, s[1:], strict=False):
+            pairs[x, y] += 1
+    pairs[k] = pairs.sum(axis=0)
+    pairs[:, [*sorted(of_class), k + 1]] += 0.1
+    pairs /= pairs.sum(axis=1, keepdims=True)
+    uniform = sum(counts.values()) + len(learnt) + len(counts) + 2
+    texts = {i: words_of(t) for i, t in rows}
+    for x in got:
+        s, want = k + 1, 0.0
+        for w in texts[x["doc_id"]]:
+            n, c = voted.get(w, (0, k))
+            want += math.log10(mix * pairs[s, c] * (n / of_class[c] if n else 0) + (1 - mix) * (n + 1) / uniform)
+            s = c
+        want += math.log10(mix * pairs[s, k + 1] + (1 - mix) * (len(learnt) + 1) / uniform)
+        assert x["score"] == pytest.approx(want, rel=1e-9)
+
+
 def reference_pii(text):
     """The contract's kinds by plain regular expressions."""
     found = []
