@@ -7,8 +7,8 @@ on labelled pages by its exact gradient and decoded by Viterbi; blocks labelled
 main text are joined by one space.
 
 Defined results: null and empty pages, and pages without main text, give an
-empty text; broken markup never fails (an unclosed element, comment or script
-runs to the end); repeated rows and null ids or addresses are passed through;
+empty text; broken markup never fails (an unclosed comment, script,
+style, title or textarea runs to the end; other elements lose no text); repeated rows and null ids or addresses are passed through;
 an empty table gives no rows; other columns are not read.
 """
 

@@ -7,9 +7,12 @@ import re
 from dataclasses import dataclass
 
 # Kinds of HTML elements.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "noembed", "noframes"}
+RAW = {"script", "style", "title", "textarea"}
+#: Blocks of their own that don't end a paragraph.
+EMBEDDED = {"noscript", "template", "iframe", "svg", "select", "button", "object", "canvas", "audio", "video", "noembed", "noframes"}
+MATH = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "mfenced", "menclose", "merror", "mmultiscripts", "mprescripts", "none", "semantics", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"} | MATH
 #: An opening element ends these open ones (up to an element in the second set).
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id and role, by what they hint at.
@@ -106,7 +109,11 @@ def blocks(page: str) -> list[Block]:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
-        if tag not in INLINE:
+        if m[3].endswith("/") and (tag in MATH or tag == "svg" or "in:svg" in stack[-1][1]):
+            continue
+        if tag in EMBEDDED:
+            flush()
+        elif tag not in INLINE:
             flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":

@@ -17,6 +17,7 @@ _LETTERS = ("abcdefghijklmnoprstuvwy", "aeinorstlcdmupéèàçùêäöüßñóí
 class _Writer:
     def __init__(self, seed: int):
         self.random = np.random.default_rng(seed)
+        self.extra = np.random.default_rng([seed, 1])
         self.letters = _LETTERS[self.random.integers(len(_LETTERS))]
 
     def chance(self, p: float) -> bool:
@@ -49,11 +50,26 @@ class _Writer:
         items = "".join(f'<li><a href="/{self.word()}">{OTHER}{self.words(1, 3)}</a></li>' for _ in range(n))
         return f"<ul>{items}</ul>"
 
+    def embedded(self) -> str:
+        """Controls and formulas within an article, some never closed; drawn apart from the rest."""
+        self.random, self.extra = self.extra, self.random
+        kind, out = self.random.random(), ""
+        if kind < 0.06:
+            out = f"<button>{OTHER}{self.words(1, 4)}" + ("</button>" if self.chance(0.7) else "")
+        elif kind < 0.08:
+            out = "<select>" + "".join(f"<option>{OTHER}{self.words(1, 3)}" for _ in range(3)) + ("</select>" if self.chance(0.7) else "")
+        elif kind < 0.12:
+            tag = self.pick("noscript", "object")
+            out = f"<{tag}><p>{CONTENT}{self.sentences(2)}</p>" + (f"</{tag}>" if self.chance(0.7) else "")
+        self.random, self.extra = self.extra, self.random
+        return out
+
     def article(self) -> str:
         out = f"<h1>{CONTENT}{self.words(2, 12)}</h1>" if self.chance(0.9) else ""
         if self.chance(0.2):
             out = f"<header>{out}</header>"
         for _ in range(self.random.integers(1, 9)):
+            out += self.embedded()
             kind = self.random.random()
             if kind < 0.75:
                 inner = f"{CONTENT}{self.prose()}"

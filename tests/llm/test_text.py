@@ -164,6 +164,24 @@ def test_broken_pages():
     assert len(texts("<ul>" + "<li>a" * 2000)) == 2000
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "math", "svg", "noscript", "canvas", "audio", "video", "iframe", "template"])
+def test_elements_without_end_lose_no_article_text(field, tag):
+    texts = [f"Sentence {i} of the article says something of its own, at some length." for i in range(4)]
+    for end in (f"</{tag}>", ""):
+        page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>Heading of the page</h1><p>{texts[0]}</p><{tag}>label{end}" + "".join(f"<p>{t}</p>" for t in texts[1:]) + "</article></body></html>"
+        assert "label" in " ".join(b.text for b in blocks(page))
+        text = main_text(page, field)
+        assert all(t in text for t in texts), (end, text)
+        assert "Home" not in text
+
+
+def test_formulas_and_fallbacks_are_part_of_an_article(field):
+    page = "<article><h1>Heading</h1><p>The sum is <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> for all of the cases here.</p><noscript><p>Without scripts there is this long sentence as well.</p></noscript><object><p>An object can hold such a sentence as its text.</p></object></article>"
+    text = main_text(page, field)
+    assert "The sum is x=2 for all of the cases here." in text
+    assert "this long sentence" in text and "An object can hold" in text
+
+
 def test_extracts_articles(spark, field):
     page = (
         '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><!-- ad --><div class="ad">Buy now.</div>'
