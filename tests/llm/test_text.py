@@ -305,10 +305,12 @@ def test_class_bigrams_follow_the_voted_classes(spark, monkeypatch):
     written, stored = {}, class_lm.stored
     monkeypatch.setattr(class_lm, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
     r = random.Random(8)
-    rows = [(i, " ".join(f"{r.choice('ab')}{int(r.random() ** 3 * 40)}" for _ in range(r.randrange(30)))) for i in range(200)] + [(None, None)]
+    # core words alternate between two kinds; the others stand in for either, so blocks propose different classes
+    word = lambda j: f"x{r.randrange(20)}" if r.random() < 0.2 else f"{'ab'[j % 2]}{r.randrange(6)}"
+    rows = [(i, " ".join(word(j) for j in range(r.randrange(30)))) for i in range(200)] + [(None, None)]
     k, mix = 4, 0.9
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = score_texts(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 0, core=6, rare=1000, classes=k, mix=mix, block_bytes=700).collect()
+    got = score_texts(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 0, core=12, rare=1000, classes=k, mix=mix, block_bytes=700).collect()
     table = written["lm-words"]
     table = [x for x in table.collect() if x["n"] > 0 and not ("kind" in table.columns and x["kind"])]
     assert len({x["block"] for x in table}) > 10
