@@ -44,8 +44,12 @@ def unfixed(x: Column, bits: int = 16) -> Column:
 
 
 def tuple_hash(*columns: str) -> Column:
-    """64-bit hash of a row; a single column is its own hash."""
-    return F.col(columns[0]).cast("long") if len(columns) == 1 else F.xxhash64(*columns)
+    """64-bit hash of a row: a single column is its own hash, two of 32 bits are packed, more are mixed."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("long")
+    if len(columns) == 2:
+        return F.shiftleft(F.col(columns[0]).cast("long"), 32).bitwiseOR(F.col(columns[1]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.xxhash64(*columns)
 
 
 def key_hash(key: Column) -> Column:

@@ -6,12 +6,11 @@ feature) are on the driver.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import piecewise_sigmoid, sigmoid
+from ..operators.segmented import prefix_sum
 
 
 def _dot(features: list[str], weights: list[float]) -> Column:
@@ -22,8 +21,11 @@ def _dot(features: list[str], weights: list[float]) -> Column:
 
 
 def batches(df: DataFrame, count: int, seed: int, key: list[str]) -> DataFrame:
-    """Rows dealt to ``count`` batches without replacement; the same for the same seed."""
-    return df.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(count)).cast("int"))
+    """Rows dealt to ``count`` batches without replacement, of equal sizes (but for one row); the same for the same seed."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    drawn = df.withColumns({"_draw": F.md5(text.cast("binary")), "_one": F.lit(1).cast("long")})
+    ranked = prefix_sum(drawn, "_one", ["_draw", *key], "_place")
+    return ranked.withColumn("batch", ((F.col("_place") - 1) % count).cast("int")).drop("_draw", "_one", "_place")
 
 
 def train(df: DataFrame, features: list[str], label: str, *, logistic: bool = False, rate: float = 0.1, epochs: int = 3, count: int = 4, seed: int = 1, key: list[str] | None = None, piecewise: bool = False) -> list[float]:
@@ -70,7 +72,3 @@ def synthetic(spark: SparkSession, rows: int, weights: list[float], seed: int =
     df = spark.range(rows).select(F.col("id"), *[F.randn(seed + i).alias(f"x{i}") for i in range(len(weights))])
     raw = _dot([f"x{i}" for i in range(len(weights))], weights) + F.lit(noise) * F.randn(seed + 1000)
     return df.withColumn("y", (raw > 0).cast("double") if logistic else raw)
-
-
-def default_rate(features: int) -> float:
-    return 1.0 / math.sqrt(max(1, features))

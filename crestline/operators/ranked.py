@@ -9,22 +9,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.jointree import line
-from ..plans.topk import product_k
+from ..plans.topk import LOCAL, product_k
 
 
-def path_ends(graph: DataFrame, steps: list[bool]) -> DataFrame:
+def _steps(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges from ``a`` to ``b``, along and against their direction."""
+    along = graph.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    return along, along.select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, degree: int | None, parts: int = 16) -> DataFrame:
+    """left join right on one column; keys with more than ``degree`` rows on the right are heavy.
+
+    A heavy key's right rows are dealt to ``parts`` tasks by hash, and the left
+    rows of that key go to each of them, so that no task sees a whole hub.
+    """
+    if degree is None:
+        return left.join(right, key)
+    heavy = right.groupBy(key).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > degree).select(key, F.lit(True).alias("_heavy"))
+    part = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*right.columns), F.lit(parts))).otherwise(0).cast("int")
+    copies = F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    rights = right.join(heavy, key, "left").withColumn("_part", part).drop("_heavy")
+    lefts = left.join(heavy, key, "left").withColumn("_part", copies).drop("_heavy")
+    return lefts.join(rights, [key, "_part"]).drop("_part")
+
+
+def path_ends(graph: DataFrame, steps: list[bool], k: int | None = None, degree: int | None = None) -> DataFrame:
     """Distinct (x, y) joined by a path; each step goes along an edge (True) or against it.
 
     Only the pairs of start and current node are kept, and repeated ones are
-    dropped after each step, so the paths themselves are never made.
+    dropped after each step, so the paths themselves are never made. With
+    ``k``, the pairs that can be among the k least sums x + y: every node
+    learns the least end it reaches; each start has a pair with its least end,
+    so the k-th least of these sums is a bar, and pairs that can't stay within
+    it are never made.
     """
-    along = graph.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    against = along.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = (along if steps[0] else against).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    for forward in steps[1:]:
-        step = (along if forward else against).withColumnRenamed("b", "z")
-        pairs = pairs.join(step, F.col("y") == F.col("a")).select("x", F.col("z").alias("y")).distinct()
-    return pairs
+    along, against = _steps(graph)
+    edges = [along if s else against for s in steps]
+    if k is None:
+        pairs = edges[0].select(F.col("a").alias("x"), F.col("b").alias("y"))
+        for step in edges[1:]:
+            pairs = dealt_join(pairs.withColumnRenamed("y", "a"), step, "a", degree).select("x", F.col("b").alias("y")).distinct()
+        return pairs
+    # least[i]: the least end for each node before step i
+    least = [edges[-1].groupBy("a").agg(F.min("b").alias("least"))]
+    for step in reversed(edges[:-1]):
+        least.insert(0, step.join(least[0].withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("least").alias("least")))
+    sums = least[0].select((F.col("a") + F.col("least")).alias("s")).orderBy("s").limit(k)
+    # with fewer than k starts, pairs beyond their least ends are needed
+    bar = F.broadcast(sums.agg(F.when(F.count(F.lit(1)) >= k, F.max("s")).alias("_bar")))
+    within = F.col("_bar").isNull() | (F.col("x") + F.col("least") <= F.col("_bar"))
+    pairs = least[0].select(F.col("a").alias("x"), "a", "least").join(bar, within).select("x", "a")
+    for i, step in enumerate(edges):
+        if i + 1 < len(edges):
+            step = step.join(least[i + 1].withColumnRenamed("a", "b"), "b")
+        else:
+            step = step.withColumn("least", F.col("b"))
+        pairs = dealt_join(pairs, step, "a", degree).join(bar, within).select("x", F.col("b").alias("a")).distinct()
+    return pairs.withColumnRenamed("a", "y")
 
 
 def by_sum(df: DataFrame, k: int | None = None) -> DataFrame:
@@ -44,37 +86,68 @@ def zigzag(n: int) -> list[bool]:
 
 
 def path_projected(graph: DataFrame, n: int, k: int | None = None) -> DataFrame:
-    return by_sum(path_ends(graph, zigzag(n)), k)
+    return by_sum(path_ends(graph, zigzag(n), k), k)
 
 
-def star_two(graph: DataFrame, k: int | None = None) -> DataFrame:
-    """Distinct (x, y) with a common right neighbour, by x + y."""
-    return by_sum(path_ends(graph, [True, False]), k)
+def star_two(graph: DataFrame, k: int | None = None, degree: int | None = None) -> DataFrame:
+    """Distinct (x, y) with a common right neighbour, by x + y; neighbours of more than ``degree`` edges are dealt to several tasks."""
+    return by_sum(path_ends(graph, [True, False], k, degree), k)
 
 
-def star_two_lex(graph: DataFrame, k: int | None = None) -> DataFrame:
-    return by_columns(path_ends(graph, [True, False]), k)
+def _hubs(graph: DataFrame, names: tuple[str, ...]) -> list[DataFrame]:
+    edges = graph.select(F.col("src").alias("x"), F.col("dst").alias("m")).distinct()
+    return [edges.select("m", F.col("x").alias(n)) for n in names]
 
 
-def _triples(graph: DataFrame) -> DataFrame:
-    edges = graph.select(F.col("src").alias("x"), F.col("dst").alias("m")).distinct()
-    one, two, three = (edges.select("m", F.col("x").alias(n)) for n in ("x1", "x2", "x3"))
-    return one.join(two, "m").join(three, "m").select("x1", "x2", "x3").distinct()
+def _lexicographic(graph: DataFrame, names: tuple[str, ...], k: int | None, degree: int | None) -> DataFrame:
+    """Distinct combinations with a common right neighbour in lexicographic order.
 
+    After each column the k least prefixes are kept: each of them has a
+    combination of its own, so no other prefix is needed.
+    """
+    first, *others = _hubs(graph, names)
+    found = first
+    for i, side in enumerate(others, 1):
+        held = list(names[:i])
+        if k is not None:
+            found = found.join(F.broadcast(found.select(*held).distinct().orderBy(*held).limit(k)) if k <= LOCAL else found.select(*held).distinct().orderBy(*held).limit(k), held, "left_semi")
+        found = dealt_join(found, side, "m", degree).distinct()
+    return by_columns(found.select(*names).distinct(), k)
 
-def star_three(graph: DataFrame, k: int | None = None, first: int | None = None) -> DataFrame:
-    """Distinct (x1, x2, x3) with a common right neighbour, by their sum."""
-    return by_sum(_triples(graph), k)
 
+def star_two_lex(graph: DataFrame, k: int | None = None, degree: int | None = None) -> DataFrame:
+    return _lexicographic(graph, ("x", "y"), k, degree)
 
-def star_three_lex(graph: DataFrame, k: int | None = None) -> DataFrame:
+
+def star_three(graph: DataFrame, k: int | None = None, degree: int | None = None) -> DataFrame:
+    """Distinct (x1, x2, x3) with a common right neighbour, by their sum.
+
+    With ``k``, each x has a triple with twice the least node of one of its
+    neighbours; the k-th least of these sums is a bar for all prefixes.
+    """
+    one, two, three = _hubs(graph, ("x1", "x2", "x3"))
+    if k is None:
+        return by_sum(dealt_join(dealt_join(one, two, "m", degree), three, "m", degree).select("x1", "x2", "x3").distinct())
+    least = one.groupBy("m").agg(F.min("x1").alias("least"))
+    sums = one.join(least, "m").groupBy("x1").agg((F.col("x1") + 2 * F.min("least")).alias("s")).select("s").orderBy("s").limit(k)
+    bar = F.broadcast(sums.agg(F.when(F.count(F.lit(1)) >= k, F.max("s")).alias("_bar")))
+    within = lambda s: F.col("_bar").isNull() | (s <= F.col("_bar"))
+    start = one.join(least, "m").join(bar, within(F.col("x1") + 2 * F.col("least")))
+    # a second or third node beyond what the neighbour's least one leaves is of no use
+    side = lambda df, x: df.join(least.withColumnRenamed("least", "l"), "m").join(bar, within(F.col(x) + 2 * F.col("l"))).select("m", x)
+    pairs = dealt_join(start, side(two, "x2"), "m", degree).where(within(F.col("x1") + F.col("x2") + F.col("least")))
+    triples = dealt_join(pairs, side(three, "x3"), "m", degree).where(within(F.col("x1") + F.col("x2") + F.col("x3")))
+    return by_sum(triples.select("x1", "x2", "x3").distinct(), k)
+
+
+def star_three_lex(graph: DataFrame, k: int | None = None, degree: int | None = None) -> DataFrame:
     """The same triples in lexicographic order."""
-    return by_columns(_triples(graph), k)
+    return _lexicographic(graph, ("x1", "x2", "x3"), k, degree)
 
 
 def union_2_4(graph: DataFrame, k: int | None = None) -> DataFrame:
     """Ends of two-step or four-step paths, each pair once, by x + y."""
-    return by_sum(path_ends(graph, zigzag(2)).union(path_ends(graph, zigzag(4))).distinct(), k)
+    return by_sum(path_ends(graph, zigzag(2), k).union(path_ends(graph, zigzag(4), k)).distinct(), k)
 
 
 def full_paths(graph: DataFrame, n: int, k: int = 35000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 
 def _running(order: list[str], key: list[str] | None = None):
     return (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -13,17 +15,17 @@ def _running(order: list[str], key: list[str] | None = None):
 def prefix_sum(df: DataFrame, value: str, order: list[str], new: str, buckets: int | None = None) -> DataFrame:
     """Inclusive running sum over the whole table, without one task that sees it all.
 
-    Rows are dealt to ranges of the first order column (equal values stay
-    together); ranges are summed up, and each range's running sum starts
-    from the sum of those before it. There are as many ranges as shuffle
-    partitions unless ``buckets`` says otherwise.
+    Rows are dealt to ranges of all order columns and written, which fixes the
+    ranges; these are summed up, and each range's running sum starts from the
+    sum of those before it. There are as many ranges as shuffle partitions
+    unless ``buckets`` says otherwise. Rows that agree on all order columns
+    may lie on either side of each other.
     """
-    first = order[0]
     buckets = max(2, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = df.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], max(1000, 10 * buckets)).alias("e"))
-    ranged = df.crossJoin(F.broadcast(edges)).withColumn("_r", F.size(F.filter("e", lambda x: x < F.col(first)))).drop("e")
+    ranged = materialise(df.repartitionByRange(buckets, *order).withColumn("_r", F.spark_partition_id()), "ranges")
     before = ranged.groupBy("_r").agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    return ranged.withColumn(new, F.sum(value).over(_running(order, ["_r"]))).join(before, "_r").withColumn(new, F.col(new) + F.col("_before")).drop("_r", "_before")
+    # one row a range, so it may be broadcast
+    return ranged.withColumn(new, F.sum(value).over(_running(order, ["_r"]))).join(F.broadcast(before), "_r").withColumn(new, F.col(new) + F.col("_before")).select(*df.columns, new)
 
 
 def segmented_prefix_sum(df: DataFrame, key: list[str], value: str, order: list[str], new: str) -> DataFrame:
@@ -77,7 +79,7 @@ def unpack_key(packed: Column) -> tuple[Column, Column]:
 
 def shuffled(df: DataFrame, seed: int, key: list[str]) -> DataFrame:
     """All rows in an order drawn by the seed; the same for the same rows."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary")), *key)
 
 
 def permuted(df: DataFrame, positions: DataFrame, row: str, place: str) -> DataFrame:

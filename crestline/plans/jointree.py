@@ -39,6 +39,28 @@ class Node:
         return [v for v in self.relation.variables if v in child.relation.variables]
 
 
+def _ears(relations: list[Relation], root: str | None = None) -> tuple[set[str], list[tuple[str, str]]]:
+    """Ear removal: the names that are left (one if the join is acyclic) and (ear, neighbour) of those removed."""
+    left = {r.name: set(r.variables) for r in relations}
+    edges: list[tuple[str, str]] = []
+    while len(left) > 1:
+        ear = next(
+            ((a, b) for a in reversed(list(left)) if a != root or len(left) == 1 for b in left if a != b and {v for v in left[a] if any(v in left[c] for c in left if c != a)} <= left[b] and left[a] & left[b]),
+            None,
+        )
+        if ear is None:
+            break
+        edges.append(ear)
+        del left[ear[0]]
+    return set(left), edges
+
+
+def cyclic_part(relations: list[Relation]) -> list[Relation]:
+    """The relations that no ear removal takes away."""
+    left, _ = _ears(relations)
+    return [r for r in relations if r.name in left]
+
+
 class JoinTree:
     """A rooted tree of relations; neighbours join on the variables they share."""
 
@@ -69,17 +91,9 @@ class JoinTree:
     @classmethod
     def build(cls, relations: list[Relation], root: str | None = None) -> JoinTree:
         """The join tree of an acyclic join (ear removal); raises ValueError if it is cyclic. ``root`` names the relation on top (default: the first)."""
-        left = {r.name: set(r.variables) for r in relations}
-        edges: list[tuple[str, str]] = []
-        while len(left) > 1:
-            ear = next(
-                ((a, b) for a in reversed(list(left)) if a != root or len(left) == 1 for b in left if a != b and {v for v in left[a] if any(v in left[c] for c in left if c != a)} <= left[b] and left[a] & left[b]),
-                None,
-            )
-            if ear is None:
-                raise ValueError("the join is cyclic or not connected")
-            edges.append(ear)
-            del left[ear[0]]
+        left, edges = _ears(relations, root)
+        if len(left) > 1:
+            raise ValueError("the join is cyclic or not connected")
         by_name = {r.name: r for r in relations}
         near: dict[str, list[str]] = {r.name: [] for r in relations}
         for a, b in edges:

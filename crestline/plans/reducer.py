@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jointree import JoinTree, Node, Relation
+from .jointree import JoinTree, Node, Relation, cyclic_part
+from .semiring import ADD, Operator
 
 _OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "<>": lambda a, b: a != b}
 
@@ -73,6 +74,75 @@ def theta_edge(left: DataFrame, right: DataFrame, key: list[str], a: str, op: st
     return lefts.join(rights, key).where(compare(op, F.col(a), F.col(b)))
 
 
+def theta_join(tree: JoinTree, comparisons: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """All results that meet the comparisons (relation, column, sign, relation, column), whatever path lies between the relations.
+
+    Bottom-up, every row learns the most promising value of either side that
+    its subtree has (the least left side for ``<``, the largest right side), and
+    goes if even these don't meet. Top-down, a prefix has the values themselves
+    of joined relations and the promise of open ones, so with one comparison
+    every prefix that is kept leads to a result.
+    """
+    for _, _, op, _, _ in comparisons:
+        if op not in ("<", "<=", ">", ">="):
+            raise ValueError("inequalities are needed")
+    tree = semi_reduce(tree)
+    ends: dict[str, list[tuple[str, str, bool]]] = {}
+    for i, (x, a, op, y, b) in enumerate(comparisons):
+        ends.setdefault(x, []).append((f"_a{i}", a, op[0] == "<"))
+        ends.setdefault(y, []).append((f"_b{i}", b, op[0] == ">"))
+    least = {name: low for found in ends.values() for name, _, low in found}
+
+    def meets(df: DataFrame, known: set[str]) -> DataFrame:
+        for i, (_, _, op, _, _) in enumerate(comparisons):
+            if {f"_a{i}", f"_b{i}"} <= known:
+                df = df.where(compare(op, F.col(f"_a{i}"), F.col(f"_b{i}")))
+        return df
+
+    def prepared(node: Node) -> tuple[DataFrame, set[str], set[str]]:
+        """(rows with own and promised sides, names of own sides, names of all)."""
+        own = {name: F.col(column) for name, column, _ in ends.get(node.relation.name, [])}
+        df = node.relation.frame.drop("weight").withColumns(own) if own else node.relation.frame.drop("weight")
+        known = set(own)
+        for c in node.children:
+            sides = held[c.relation.name][2]
+            if sides:
+                key = node.key(c)
+                promise = held[c.relation.name][0].groupBy(*key).agg(*[(F.min if least[s] else F.max)(s).alias(s) for s in sorted(sides)])
+                df = df.join(promise, key, "inner")
+                known |= sides
+        return meets(df, known), set(own), known
+
+    held: dict[str, tuple[DataFrame, set[str], set[str]]] = {}
+    for node in reversed(tree.nodes):
+        held[node.relation.name] = prepared(node)
+    df, _, known = held[tree.root.relation.name]
+    for node in tree.nodes[1:]:
+        right, _, sides = held[node.relation.name]
+        # the child's values take the place of what was promised of its subtree
+        df = df.drop(*sides).join(right, [v for v in node.relation.variables if v in df.columns], "inner")
+        known = known | sides
+        df = meets(df, known)
+    return df.select(*tree.variables)
+
+
+def acyclic(relations: list[Relation], root: str | None = None, times: Operator = ADD) -> JoinTree:
+    """A join tree; while the join is cyclic, two relations of its cyclic part that share most variables become one bag."""
+    relations = list(relations)
+    while True:
+        try:
+            return JoinTree.build(relations, root)
+        except ValueError:
+            core = cyclic_part(relations)
+            pairs = [(len(set(a.variables) & set(b.variables)), -i, -j) for i, a in enumerate(core) for j, b in enumerate(core) if i < j]
+            most, i, j = max(pairs, default=(0, 0, 0))
+            if not most:
+                raise
+            a, b = core[-i], core[-j]
+            merged = bag([a, b], a.name if root != b.name else b.name, times)
+            relations = [merged if r is a else r for r in relations if r is not b]
+
+
 def ordered_view(df: DataFrame, key: list[str], by: str, descending: bool = False, name: str = "rn") -> DataFrame:
     """Rows numbered under each key by one column (ties by all other columns)."""
     rest = [c for c in df.columns if c not in (*key, by)]
@@ -84,12 +154,12 @@ def systematic_sample(df: DataFrame, step: int = 100, rank: str = "rn") -> DataF
     return df.where(F.col(rank) % step == 1 % step)
 
 
-def bag(relations: list[Relation], name: str) -> Relation:
-    """The join of several relations as one (the cyclic part of a query); weights add up."""
+def bag(relations: list[Relation], name: str, times: Operator = ADD) -> Relation:
+    """The join of several relations as one (the cyclic part of a query); weights are joined by ``times``."""
     df, variables = relations[0].frame, list(relations[0].variables)
     for r in relations[1:]:
         right = r.frame.withColumnRenamed("weight", "_w")
-        df = df.join(right, [v for v in r.variables if v in variables], "inner").withColumn("weight", F.col("weight") + F.col("_w")).drop("_w")
+        df = df.join(right, [v for v in r.variables if v in variables], "inner").withColumn("weight", times.combine(F.col("weight"), F.col("_w"))).drop("_w")
         variables += [v for v in r.variables if v not in variables]
     return Relation(name, df.select(*variables, "weight"), tuple(variables))
 

@@ -1,7 +1,8 @@
-"""How weights combine across a join (add or multiply) and which results rank first (largest or smallest)."""
+"""How weights combine across a join (add, multiply or a user's operation) and which results rank first (largest or smallest)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,25 +12,41 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Operator:
-    """An associative operation: its neutral value, a column form and an aggregate."""
+    """An associative, commutative operation: its neutral value, its form on two columns and as an aggregate.
+
+    ``monotone`` says that it keeps the order of its arguments, so that it can
+    join weights in a ranking (MUL does for weights of at least 0); ``strict``
+    that different arguments also give different results, unless the other one
+    is ``absorbing``. Where it isn't strict, equal scores are kept with a cut.
+    """
 
     name: str
-    zero: int
+    zero: int | float
+    merge: Callable[[Column, Column], Column]
+    fold: Callable[[Column], Column]
+    monotone: bool = True
+    strict: bool = False
+    absorbing: int | float | None = None
 
     def combine(self, a: Column, b: Column) -> Column:
-        return {"ADD": lambda: a + b, "MUL": lambda: a * b, "MAX": lambda: F.greatest(a, b), "MIN": lambda: F.least(a, b)}[self.name]()
+        return self.merge(a, b)
 
     def all(self, columns: list[Column]) -> Column:
-        return reduce(self.combine, columns) if columns else F.lit(self.zero)
+        return reduce(self.merge, columns) if columns else F.lit(self.zero)
 
     def aggregate(self, column: Column) -> Column:
-        return {"ADD": F.sum, "MUL": F.product, "MAX": F.max, "MIN": F.min}[self.name](column)
+        return self.fold(column)
+
+    @classmethod
+    def of(cls, name: str, zero: int | float, merge: Callable[[Column, Column], Column], monotone: bool = True) -> Operator:
+        """A user's operation; its aggregate folds the group's values, which one task holds (give ``fold`` where Spark has an aggregate)."""
+        return cls(name, zero, merge, lambda c: F.reduce(F.collect_list(c), F.lit(zero), merge), monotone)
 
 
-ADD = Operator("ADD", 0)
-MUL = Operator("MUL", 1)
-MAX = Operator("MAX", -(2**63))
-MIN = Operator("MIN", 2**63 - 1)
+ADD = Operator("ADD", 0, lambda a, b: a + b, F.sum, strict=True)
+MUL = Operator("MUL", 1, lambda a, b: a * b, F.product, strict=True, absorbing=0)
+MAX = Operator("MAX", -(2**63), F.greatest, F.max)
+MIN = Operator("MIN", 2**63 - 1, F.least, F.min)
 
 
 @dataclass(frozen=True)
@@ -40,11 +57,15 @@ class Ranking:
     best: Operator = MAX
 
     def __post_init__(self):
-        if self.best not in (MAX, MIN) or self.times not in (ADD, MUL):
-            raise ValueError("weights are joined by ADD or MUL and ranked by MAX or MIN")
+        if self.best not in (MAX, MIN) or not self.times.monotone:
+            raise ValueError("weights are joined by a monotone operation and ranked by MAX or MIN")
+
+    @property
+    def largest(self) -> bool:
+        return self.best is MAX
 
     def order(self, column: str) -> Column:
-        return F.desc(column) if self.best is MAX else F.asc(column)
+        return F.desc(column) if self.largest else F.asc(column)
 
     def reaches(self, score: Column, bar: Column) -> Column:
-        return score >= bar if self.best is MAX else score <= bar
+        return score >= bar if self.largest else score <= bar

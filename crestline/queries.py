@@ -138,6 +138,26 @@ _sql("sql_theta", "SELECT R.src AS a, S.src AS b, T.src AS c, T.dst AS d FROM gr
 _sql("sql_aggregate", "SELECT R.src AS a, count(*) AS n, sum(S.rating) AS total, max(T.rating) AS top, min(R.rating) AS low, avg(T.rating) AS mean FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src GROUP BY R.src", "product_k", "SELECT R.src AS a, count(*) AS n, sum(S.rating)::BIGINT AS total, max(T.rating) AS top, min(R.rating) AS low, avg(T.rating) AS mean FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src GROUP BY R.src")
 _sql("sql_cyclic", "SELECT R.src AS a, S.src AS b, T.src AS c FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src AND T.dst = R.src")
 
+_L2, _L4 = "FROM graph R, graph S WHERE R.dst = S.src", "FROM graph R, graph S, graph T, graph U WHERE R.dst = S.src AND S.dst = T.src AND T.dst = U.src"
+_L3_FROM = "FROM graph R, graph S, graph T WHERE R.dst = S.src AND S.dst = T.src"
+_sql("sql_having", f"SELECT R.src AS a, count(*) AS n, sum(S.rating) AS total {_L2} GROUP BY R.src HAVING count(*) >= 2 AND max(S.rating) > 100000", oracle=f"SELECT R.src AS a, count(*) AS n, sum(S.rating)::BIGINT AS total {_L2} GROUP BY R.src HAVING count(*) >= 2 AND max(S.rating) > 100000")
+_sql("sql_order_two", f"SELECT R.src AS a, S.src AS b, S.dst AS c, R.rating % 10 + S.rating % 10 AS total {_L2} ORDER BY total DESC, c DESC, a, b LIMIT 200")
+_sql("sql_distinct", f"SELECT DISTINCT R.src AS a, T.dst AS d {_L3_FROM}")
+_sql("sql_between", f"SELECT R.src AS a, S.dst AS c {_L2} AND R.rating BETWEEN 1000 AND 150000 AND (S.rating > 300000 OR S.dst IN (1, 2, 3))")
+_sql("sql_formula", f"SELECT R.src % 7 AS a, count(DISTINCT S.src) AS n, sum(R.rating * 2 - S.rating) AS total {_L2} GROUP BY R.src % 7", oracle=f"SELECT R.src % 7 AS a, count(DISTINCT S.src) AS n, sum(R.rating * 2 - S.rating)::BIGINT AS total {_L2} GROUP BY R.src % 7")
+_sql("sql_group_many", f"SELECT R.src AS a, T.src AS c, count(*) AS n, sum(R.rating % 100 * (T.rating % 100) + S.rating % 10) AS total, max(R.rating - T.rating) AS top {_L3_FROM} GROUP BY R.src, T.src", oracle=f"SELECT R.src AS a, T.src AS c, count(*) AS n, sum((R.rating % 100) * (T.rating % 100) + S.rating % 10)::BIGINT AS total, max(R.rating - T.rating) AS top {_L3_FROM} GROUP BY R.src, T.src")
+_sql("sql_theta_four", f"SELECT R.src AS a, S.src AS b, T.src AS c, U.src AS d, U.dst AS e {_L4} AND R.rating < U.rating AND S.rating >= T.rating + 50000")
+_sql("sql_cyclic_topk", f"SELECT R.src AS a, S.src AS b, T.src AS c, R.rating + S.rating + T.rating AS total {_L3_FROM} AND T.dst = R.src ORDER BY total DESC, a, b, c LIMIT 100")
+_sql("sql_cycle_four", f"SELECT R.src AS a, S.src AS b, T.src AS c, U.src AS d, R.rating + S.rating + T.rating + U.rating AS total {_L4} AND U.dst = R.src ORDER BY total, a, b, c, d LIMIT 50")
+_sql("sql_subquery", "SELECT g.src AS a, g.dst AS b FROM graph g WHERE g.src IN (SELECT dst FROM graph)")
+for _method, _name in ((product_k, "product_k"), (level_k, "level_k")):
+    _on_graph(f"topk_ties_{_name}", lambda g, m=_method: m(line(g.withColumn("rating", F.lit(1).cast("long")), 3), 100), f", ties AS (SELECT src, dst, CAST(1 AS BIGINT) AS rating FROM graph) {_top('l3', 100, True, '+', 'ties')}")
+_on_graph(
+    "topk_l3_ends",
+    lambda g: projected_k(line(g, 3), ["node1", "node4"], K),
+    f"SELECT node1, node4, max(score) AS score FROM ({_joined_sql(SHAPES['l3'][1])[0].replace('{graph}', 'graph')}) GROUP BY ALL ORDER BY score DESC, node1, node4 LIMIT {K}",
+)
+
 _BOUNDS = "ends AS (SELECT src, max(rating) AS m FROM graph GROUP BY src)"
 _on_graph("suffix_bounds", lambda g: Reduced(line(g, 2), Ranking()).frames["E1"].select("node1", "node2", "w", "bound"), f", {_BOUNDS} SELECT g.src AS node1, g.dst AS node2, g.rating AS w, g.rating + m AS bound FROM graph g JOIN ends ON g.dst = ends.src")
 _on_graph(
@@ -200,7 +220,7 @@ _on_graph(
 )
 _on_graph("table_filter", lambda g: table.select_rows(g, (F.col("rating") >= 100000) & ~F.col("src").isin(1, 2, 3)), "SELECT * FROM graph WHERE rating >= 100000 AND src NOT IN (1, 2, 3)")
 _on_graph("table_suffix", lambda g: table.add_suffix(g, "_1"), "SELECT src AS src_1, dst AS dst_1, rating AS rating_1 FROM graph")
-_on_graph("table_sort", lambda g: table.sort(g, ["rating", "src", "dst"], True), "SELECT * FROM graph")
+_on_graph("table_sort", lambda g: table.sort(g, ["rating", "src", "dst"], True).limit(500), "SELECT * FROM graph ORDER BY rating DESC, src DESC, dst DESC LIMIT 500")
 _on_graph("table_select_k", lambda g: table.select_k(g, 100, ["rating"], True), "SELECT * FROM graph ORDER BY rating DESC, src, dst LIMIT 100")
 _on_graph("table_select_k_ties", lambda g: table.select_k_with_ties(g.withColumn("rating", F.col("rating") % 50), 100, "rating", True), "SELECT src, dst, r AS rating FROM (SELECT src, dst, rating % 50 AS r, rank() OVER (ORDER BY rating % 50 DESC) AS p FROM graph) WHERE p <= 100")
 _on_graph("table_kth", lambda g: table.kth_value(g, 77, "rating"), "SELECT min(rating) AS kth FROM (SELECT rating FROM graph ORDER BY rating DESC LIMIT 77)")
@@ -212,7 +232,8 @@ _register("table_cross", "SELECT r_regionkey, n_nationkey FROM region, nation",
 _on_graph("table_join", lambda g: table.equi_join(g, [1], g.toDF("s2", "d2", "r2"), [0]), "SELECT R.src, R.dst, R.rating, S.dst AS d2, S.rating AS r2 FROM graph R JOIN graph S ON R.dst = S.src")
 _on_graph("table_join_two_columns", lambda g: table.equi_join(g, [0, 1], g.toDF("s2", "d2", "r2"), [1, 0]), "SELECT R.src, R.dst, R.rating, S.rating AS r2 FROM graph R JOIN graph S ON R.src = S.dst AND R.dst = S.src")
 _on_graph("table_semi_annotated_join", lambda g: table.semi_annotated_join(g, ["dst"], "rating", table.group_aggregate(g, ["src"], "rating", "best", MAX), ["src"], "best"), "SELECT g.src, g.dst, g.rating + best AS rating FROM graph g JOIN (SELECT src AS k, max(rating) AS best FROM graph GROUP BY src) ON g.dst = k")
-_on_graph("table_hash", lambda g: table.table_hash(table.union_all(g, g)), "SELECT CAST(0 AS BIGINT) AS hash")
+_on_graph("table_hash", lambda g: table.table_hash(g), "SELECT bit_xor(CAST('0x' || substr(md5('=' || src || '|=' || dst || '|=' || rating), 1, 15) AS BIGINT)) AS hash FROM graph")
+_on_graph("tuple_hash", lambda g: g.select("src", "dst", scalar.tuple_hash("src").alias("one"), scalar.tuple_hash("src", "dst").alias("two")), "SELECT src, dst, src AS one, src * 4294967296 + dst AS two FROM graph")
 _on_graph("generated_weight", lambda g: g.select("src", "dst", scalar.generated_weight(F.col("src"), F.col("dst")).alias("rating")), "SELECT src, dst, rating FROM graph")
 
 # Joins with flags, lookups, expansion
@@ -271,7 +292,7 @@ _on_graph("piecewise_sigmoid", lambda g: g.select("src", "dst", scalar.piecewise
 _on_graph("key_hash", lambda g: g.select("src", scalar.key_hash(F.col("src")).alias("digest")).distinct(), "SELECT DISTINCT src, substr(sha256(CAST(src AS VARCHAR)), 1, 20) AS digest FROM graph")
 _on_graph("sigmoid", lambda g: g.select("src", "dst", (F.round(scalar.sigmoid((F.col("src") - F.col("dst")) / 1024.0) * 1e9).cast("long")).alias("y")), "SELECT src, dst, CAST(round(1.0::DOUBLE / (1.0::DOUBLE + exp(-((src - dst) / 1024.0::DOUBLE))) * 1e9) AS BIGINT) AS y FROM graph")
 _on_graph("best_row", lambda g: table.best_row(g, ["src"], "rating").select("src", "best.rating", "best.dst"), "SELECT src, rating, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rating DESC, dst DESC) AS p FROM graph) WHERE p = 1")
-_on_graph("shuffled", lambda g: segmented.shuffled(g, 7, ["src", "dst"]), "SELECT * FROM graph")
+_on_graph("shuffled", lambda g: segmented.shuffled(g, 7, ["src", "dst"]).limit(500), "SELECT * FROM graph ORDER BY md5('7|' || src || '|' || dst) LIMIT 500")
 _on_graph("layers", lambda g: regression.layers(g, ["src", "dst"], [[[1.0, -1.0], [0.5, 0.5]], [[2.0, 1.0], [0.0, -1.0]]]).select("src", "dst", "out0", "out1"), "SELECT src, dst, greatest(src - dst, 0) * 2.0::DOUBLE + (src + dst) * 0.5::DOUBLE AS out0, -((src + dst) * 0.5::DOUBLE) AS out1 FROM graph")
 _register("timestamp_interval", "SELECT event_id, ts + INTERVAL 3 DAY AS due FROM events", edges=False)(lambda spark, d: _read(spark, d, "events").select("event_id", scalar.later(F.col("ts"), "3 days").alias("due")))
 _register("like_and_in", "SELECT c_custkey FROM customer WHERE c_name LIKE '%7' AND c_mktsegment NOT LIKE 'A%' AND c_nationkey IN (1, 2, 3, 5, 8)", edges=False)(
@@ -321,20 +342,32 @@ for _n, _shape in ((2, "l2"), (3, "l3"), (4, "l4")):
 # Streams and models
 
 
-@_register("regression_linear")
-def regression_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = regression.synthetic(spark, 2000, [1.0, -2.0, 0.5])
-    features = ["x0", "x1", "x2"]
-    weights = regression.train(rows, features, "y", rate=0.3, epochs=4, key=["id"])
-    return regression.score(regression.predict(rows, features, weights), "y")
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with two scaled features and two labels."""
+    li = _read(spark, sf_dir, "lineitem")
+    quantity, discount = F.col("l_quantity").cast("double") / 50, F.col("l_discount").cast("double") * 10
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents("l_extendedprice").alias("price"), F.lit(1.0).alias("x0"), quantity.alias("x1"), discount.alias("x2"), (F.col("l_extendedprice").cast("double") / 100000).alias("y"), (F.col("l_extendedprice") > 40000).cast("double").alias("high"))
+
+
+def _descent_sql(label: str, guess: str, rate: float, seed: int) -> str:
+    """Two epochs of two batches, step by step."""
+    key = f"md5('{seed}|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT))"
+    sql = f"""WITH r AS (SELECT 1.0::DOUBLE AS x0, l_quantity::DOUBLE / 50 AS x1, l_discount::DOUBLE * 10 AS x2, l_extendedprice::DOUBLE / 100000 AS y, (l_extendedprice > 40000)::INT::DOUBLE AS high,
+        (row_number() OVER (ORDER BY {key}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) % 2 AS batch FROM lineitem), w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"""
+    for i in range(4):
+        error = f"({guess.format('(a * x0 + b * x1 + c * x2)')} - {label})"
+        step = ", ".join(f"any_value({w}) - {rate} * avg({error} * {x}) AS {w}" for w, x in zip("abc", ("x0", "x1", "x2"), strict=True))
+        sql += f", w{i + 1} AS (SELECT {step} FROM r, w{i} WHERE batch = {i % 2})"
+    return f"{sql} SELECT CAST(round(a * 1e7) AS BIGINT) AS w0, CAST(round(b * 1e7) AS BIGINT) AS w1, CAST(round(c * 1e7) AS BIGINT) AS w2 FROM w4"
+
+
+def _trained(spark: SparkSession, sf_dir: str, label: str, logistic: bool, rate: float) -> DataFrame:
+    weights = regression.train(_priced(spark, sf_dir), ["x0", "x1", "x2"], label, logistic=logistic, rate=rate, epochs=2, count=2, seed=5, key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"])
+    return spark.createDataFrame([tuple(round(w * 1e7) for w in weights)], "w0 long, w1 long, w2 long")
 
 
-@_register("regression_logistic")
-def regression_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = regression.synthetic(spark, 2000, [1.0, -2.0, 0.5], logistic=True)
-    features = ["x0", "x1", "x2"]
-    weights = regression.train(rows, features, "y", logistic=True, rate=1.0, epochs=4, key=["id"])
-    return regression.score(regression.predict(rows, features, weights, True), "y", True)
+_register("regression_linear", _descent_sql("y", "{}", 0.5, 5), edges=False)(lambda spark, d: _trained(spark, d, "y", False, 0.5))
+_register("regression_logistic", _descent_sql("high", "1 / (1 + exp(-{}))", 1.0, 5), edges=False)(lambda spark, d: _trained(spark, d, "high", True, 1.0))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

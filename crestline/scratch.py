@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read again: cuts lineage, survives lost executors, fixes generated ids.
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode, where it may be unset, a temporary folder. On a cluster it must be set, as executors share no local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='crestline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
-    The folder is spark.checkpoint.dir; where that is unset, as in tests, a temporary one.
-    """
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: cuts lineage, survives lost executors, fixes generated ids. It goes when the application ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='crestline-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
     return spark.read.schema(df.schema).parquet(path)

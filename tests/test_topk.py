@@ -6,10 +6,12 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from crestline.operators.table import from_rows
+from crestline.plans import topk
 from crestline.plans.jointree import JoinTree, Relation, fork, line, star
-from crestline.plans.semiring import ADD, MAX, MIN, MUL, Ranking
+from crestline.plans.semiring import ADD, MAX, MIN, MUL, Operator, Ranking
 from crestline.plans.topk import level_k, levels, naive, product_k, projected_k
 
 
@@ -107,7 +109,61 @@ def test_bad_rankings_and_trees(spark):
         JoinTree.build([Relation.of("R", g, {"a": "src"}, "rating"), Relation.of("S", g, {"z": "src"}, "rating")])
 
 
-def test_plan_limits_partially(spark):
-    for k in (5, 40_000):
+def test_cuts_are_partial_limits(spark):
+    """No step ranks all rows in one task: cuts are limits in every task first, and what goes on is at most k rows."""
+    for k in (5, 100_000):
         plan = product_k(line(graph(spark, 2), 2), k)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("WindowGroupLimit") >= plan.count("Window [rank") > 0 and "Cartesian" not in plan
+        assert plan.count("TakeOrderedAndProject") >= 2 and "Window" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("times", [ADD, MUL])
+def test_equal_weights_keep_k_rows_a_step(spark, monkeypatch, times):
+    """All results tie, so variables alone decide; no step keeps more than k rows."""
+    seen = []
+    settle = topk.settle
+    monkeypatch.setattr(topk, "settle", lambda df, k, name: seen.append(settle(df, k, name).count()) or settle(df, k, name))
+    g = from_rows(spark, ["src", "dst", "rating"], [(a, b, times.zero) for a in range(12) for b in range(12)])
+    want = rows(naive(line(g, 3), 10, Ranking(times, MAX)))
+    for method in (product_k, lambda t, k, r: level_k(t, k, 2, r)):
+        assert rows(method(line(g, 3), 10, Ranking(times, MAX))) == want
+    assert seen and max(seen) <= 10
+
+
+def test_zero_weights_of_a_product(spark):
+    """A weight of 0 makes all prefixes equal, so the least variables win, not the best prefix."""
+    r = random.Random(3)
+    for seed in range(4):
+        g = from_rows(spark, ["src", "dst", "rating"], [(r.randrange(4), r.randrange(4), r.choice([0, 0, 1, 2])) for _ in range(14)])
+        for ranking in (Ranking(MUL, MAX), Ranking(MUL, MIN)):
+            for k in (1, 3, 6):
+                want = rows(naive(line(g, 3), k, ranking))
+                assert rows(product_k(line(g, 3), k, ranking)) == want and rows(level_k(line(g, 3), k, 2, ranking)) == want
+
+
+def test_user_operator(spark):
+    """Bottleneck ranking: the largest least weight of a path, by the caller's own operation."""
+    least = Operator.of("BOTTLENECK", 10**9, lambda a, b: F.least(a, b))
+    for seed in (1, 2):
+        tree = line(graph(spark, seed, weights=50), 3)
+        want = rows(naive(tree, 12, Ranking(least)))
+        assert rows(product_k(tree, 12, Ranking(least))) == want and rows(level_k(tree, 12, 2, Ranking(least))) == want
+    assert from_rows(spark, ["a"], [(4,), (2,), (9,)]).agg(least.aggregate(F.col("a"))).first()[0] == 2
+
+
+@pytest.mark.parametrize("k", [1, 8, 1000])
+def test_projecting_a_join_variable_away(spark, k):
+    g = graph(spark, 5)
+    best = {}
+    for (a, b, x), (b2, c, y), (c2, d, z) in itertools.product(rows(g), repeat=3):
+        if b == b2 and c == c2:
+            best[a, d] = max(best.get((a, d), -1), x + y + z)
+    want = sorted(((*key, w) for key, w in best.items()), key=lambda t: (-t[2], t[:2]))[:k]
+    assert rows(projected_k(line(g, 3), ["node1", "node4"], k)) == want
+
+
+def test_all_results_that_reach_a_bar(spark):
+    g = graph(spark, 8)
+    whole = rows(naive(line(g, 3), 10**6))
+    for bar in (whole[len(whole) // 2][-1], None):
+        got = rows(topk.reaching(line(g, 3), spark.createDataFrame([(bar,)], "bar long")))
+        assert sorted(got) == sorted(r for r in whole if bar is None or r[-1] >= bar)
