@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. In local mode, where it may be unset, a temporary folder; on a cluster executors share none, so it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='crestline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found.rstrip("/")
 
 
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:
@@ -32,31 +37,39 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
 
 
-_WRITTEN: list[str] = []
+_SCOPE: ContextVar[list | None] = ContextVar("written", default=None)
 
 
-def mark() -> int:
-    """How many tables ``stored`` has written so far, for ``sweep``."""
-    return len(_WRITTEN)
-
-
-def sweep(spark: SparkSession, since: int) -> None:
-    """Deletes the tables that ``stored`` has written after a ``mark``, once nothing that reads them is needed."""
-    while len(_WRITTEN) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def swept() -> Iterator[None]:
+    """Tables that ``stored`` writes inside go when the block ends; what reads them must have run by then."""
+    written: list = []
+    token = _SCOPE.set(written)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for system, path in written:
+            system.delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again.
 
     Cuts lineage, survives lost executors and lets several later passes read
-    only the columns they need.
+    only the columns they need. The table goes with the ``swept`` block it is
+    written in, or else when the application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    scope = _SCOPE.get()
+    if scope is None:
+        system.deleteOnExit(place)
+    else:
+        scope.append((system, place))
     return spark.read.schema(df.schema).parquet(path)
 
 
