@@ -13,6 +13,8 @@ EMBEDDED = {"noscript", "template", "iframe", "svg", "select", "button", "object
 MATH = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "mfenced", "menclose", "merror", "mmultiscripts", "mprescripts", "none", "semantics", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"} | MATH
+#: Elements whose names are features of the text in them; others count as one.
+KNOWN = EMBEDDED | {"html", "body", "head", "div", "p", "article", "section", "main", "header", "footer", "nav", "aside", "form", "fieldset", "figure", "figcaption", "blockquote", "pre", "address", "details", "summary", "dialog", "center", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "menu", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "option", "optgroup", "legend", "search", "picture", "map"}
 #: An opening element ends these open ones (up to an element in the second set).
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id and role, by what they hint at.
@@ -30,6 +32,7 @@ HINTS = {
 }
 _HINTS = {k: re.compile(v) for k, v in HINTS.items()}
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|/?[a-zA-Z][^>]*>|[!?/][^>]*>)", re.S)
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -52,9 +55,11 @@ def blocks(page: str) -> list[Block]:
     """All leaf blocks with text, in page order; never fails, however broken the page."""
     found: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    # where each open tag stands in the stack, and where blocks stand: nothing below walks the stack
+    open_at: dict[str, list[int]] = {}
+    block_at: list[int] = [0]
     pieces: list[str] = []
     linked = 0
-    depth_a = 0
 
     def flush() -> None:
         nonlocal linked
@@ -62,16 +67,19 @@ def blocks(page: str) -> list[Block]:
             # white space becomes one space; character references are decoded first
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                inner = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
-                found.append(Block(text, inner[0], stack[-1][1], min(1.0, linked / max(1, len(text)))))
+                found.append(Block(text, stack[block_at[-1]][0], stack[-1][1], min(1.0, linked / max(1, len(text)))))
             pieces.clear()
         linked = 0
 
+    def last(tags: set[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     def pop_to(n: int) -> None:
-        nonlocal depth_a
         for tag, _ in stack[n:]:
-            depth_a -= tag == "a"
+            open_at[tag].pop()
         del stack[n:]
+        while block_at[-1] >= n:
+            block_at.pop()
 
     at, end = 0, page.rfind(">") + 1
     while at < end:
@@ -81,7 +89,7 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
-            if depth_a:
+            if open_at.get("a"):
                 linked += len(piece.strip())
         at = m.end()
         if not m[2]:
@@ -90,13 +98,10 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "br" or tag not in INLINE:
                 flush() if tag != "br" else pieces.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                # an inline end tag doesn't reach beyond its block
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            at_tag = last({tag})
+            # an inline end tag doesn't reach beyond its block
+            if at_tag and (tag not in INLINE or at_tag > block_at[-1]):
+                pop_to(at_tag)
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input"):
@@ -105,9 +110,9 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+            # these have no self-closing form: a slash before the > says nothing
+            close = _ENDS[tag].search(page, at)
+            at = close.end() if close else len(page)
             continue
         if m[3].endswith("/") and (tag in MATH or tag == "svg" or "in:svg" in stack[-1][1]):
             continue
@@ -115,24 +120,20 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            at_p = last({"p"})
+            if at_p and at_p >= block_at[-1]:
+                pop_to(at_p)
             if tag in CLOSES:
                 ends, stops = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        pop_to(i)
-                        break
-                    if stack[i][0] in stops:
-                        break
+                at_end = last(ends)
+                if at_end > last(stops):
+                    pop_to(at_end)
         around = stack[-1][1]
-        more = _hints(m[3]) | ({f"in:{tag}"} if tag not in INLINE else set())
+        more = _hints(m[3]) | ({f"in:{tag if tag in KNOWN else 'other'}"} if tag not in INLINE else set())
         stack.append((tag, around if more <= around else around | more))
-        depth_a += tag == "a"
+        open_at.setdefault(tag, []).append(len(stack) - 1)
+        if tag not in INLINE:
+            block_at.append(len(stack) - 1)
     rest = page[at:] if at >= end else page[at:end] + page[end:]
     if at < len(page):
         # an element that is never closed is markup to the end
