@@ -175,7 +175,9 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
             tables[:-1, bit] = np.log(shares[code[:, bit] == 1].mean(axis=0)) - np.log(shares[code[:, bit] == -1].mean(axis=0))
     model = LanguageModel(languages, code, tables, np.ones(code.shape[1]), np.full(code.shape, 1.0))
     part = min(1.0, sample / sum(listed.values()))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).limit(2 * sample).mapInArrow(_margin_rows(model), "lang string, margins array<double>").toArrow()
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).mapInArrow(_margin_rows(model), "lang string, margins array<double>")
+    # where one text is repeated often, what is taken depends on the values alone
+    drawn = drawn.orderBy(F.xxhash64("lang", "margins"), "lang").limit(2 * sample).toArrow()
     if drawn.num_rows:
         number = {x: i for i, x in enumerate(languages)}
         which = np.array([number[x] for x in drawn["lang"].to_pylist()])

@@ -224,8 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     # at most `sample` rows of two numbers: a bounded broadcast
     drawn = F.broadcast(drawn.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_raw")).join(drawn, F.col("_doc") == F.col("_id"), "inner")
-    # repeated ids can make more rows than labels
-    found = with_statistics(rows, "_raw", {"label": F.col("_label")}).limit(2 * sample).toArrow()
+    # repeated ids can make more rows than labels; which of them are taken depends on their values alone
+    found = with_statistics(rows, "_raw", {"label": F.col("_label")})
+    found = found.orderBy(F.xxhash64(*STATISTICS), *STATISTICS, "label").limit(sample).toArrow()
     x = np.stack([found[s].to_numpy() for s in STATISTICS], axis=1) if found.num_rows else np.zeros((0, len(STATISTICS)))
     y = found["label"].to_numpy()
     order = np.lexsort([*x.T, y])
