@@ -2,19 +2,21 @@
 
 Training, all counts over all training texts:
 
-1. The most frequent words (``core``; each task reports the words that make up
-   one in ``rare`` of its own) and their full table of neighbours are gathered.
-2. Exchange clustering moves core words between classes as long as the
-   likelihood of the class bigrams rises.
-3. Documents are dealt to blocks of about ``block_bytes``. In every block all
-   other words propose the class that suits their neighbours best (one exchange
-   step); blocks vote by their counts, so every word of the corpus has a count and
-   a class.
-4. Every block meets the voted classes of just its own words; the class bigrams
+1. Texts are dealt to blocks of about ``block_bytes`` as they come, and written.
+   Every block lists its words, and these are summed up: every word's count.
+2. Exchange clustering moves the ``core`` most frequent words between classes as
+   long as the likelihood of the class bigrams rises.
+3. Every other word makes one exchange step by its neighbours in the whole
+   corpus: what stands before and after it, by class, is summed up by word, and
+   the word takes the class that suits these sums best.
+4. Every block meets the classes of just its own words; the class bigrams
    of all training tokens are counted by them and summed up.
 5. Every block meets the counts and classes of just its own words, and its
    texts are scored.
 
+Counts are whole numbers and likelihoods of classes are summed in fixed point,
+so neither the partitions of the table nor the size of the blocks changes a score.
+
 P(word | class before) = mix * P(class | class before) * count / count of class
 + (1 - mix) * (count + 1) / (N + V + 1), which sums to 1 over the known words
 and one unknown; an unknown word counts as a class of its own before others.
@@ -27,7 +29,10 @@ vocabulary of a block. Words are known by 64-bit hashes.
 Defined results: null and empty texts are one token, the end; with nothing to
 learn from, every word is unknown; repeated rows are scored one by one and
 count as often in training as they occur; a null id counts as the empty text
-when rows are dealt to the folds; an empty table gives no rows.
+when rows are dealt to the folds; words that tie for a place among the core go
+by their hash, and classes that suit a word equally by their number; a very long
+text is a block of its own; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -37,49 +42,68 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import joined_hot, small_batches, stored
 from .textvec import slices, word_hashes
 
-CORE = 512
-RARE = 20_000
+CORE = 1024
 CLASSES = 32
 SWEEPS = 6
 BLOCK_BYTES = 20 << 20
-_HELD = 1 << 22
-
-
-def _flushed(texts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(texts, word hashes) in lots of about _HELD words."""
-    held, n, rows = [], 0, 0
-    for batch in texts:
-        for first, end, data, offsets in slices(batch.column(0)):
-            hashes, _ = word_hashes(data, offsets)
-            held.append(hashes)
-            n += len(hashes)
-            rows += end - first
-            if n >= _HELD:
-                yield rows, np.concatenate(held)
-                held, n, rows = [], 0, 0
-    if rows:
-        yield rows, np.concatenate(held)
-
-
-def _frequent(rare: int):
+#: Occurrences that are summed up before they leave a task.
+_HELD = 1 << 21
+#: Steps of the fixed point in which likelihoods are summed.
+_UNIT = 1 << 20
+
+
+def _dealt(block_bytes: int):
+    """(doc_id, text, learn) with a block in front: a task's rows in turn, as many as make ``block_bytes``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes in _flushed(batches):
-            values, counts = np.unique(hashes, return_counts=True)
-            often = counts * rare >= len(hashes)
-            kind = np.concatenate([[2, 1], np.zeros(often.sum(), np.int64)])
-            word = np.concatenate([[0, 0], values[often].view(np.int64)]).astype(np.int64)
-            n = np.concatenate([[len(hashes), rows], counts[often]])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(word), pa.array(n)], names=["kind", "word", "n"])
+        task, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = seen + np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.concatenate([[seen], ends[:-1]]) if len(ends) else ends
+            seen = int(ends[-1]) if len(ends) else seen
+            yield pa.RecordBatch.from_arrays([pa.array((task << 24) + starts // block_bytes), *batch.columns], names=["block", "doc_id", "text", "learn"])
 
     return run
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, text, learn) to (block, word, n): a block's words with their training counts; a block that lies in several tasks is listed in parts."""
+
+    def out(block: int, lots: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(lots) if lots else np.zeros(0, np.uint64), return_counts=True)
+        rest = np.setdiff1d(np.concatenate(others), words) if others else words[:0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(words) + len(rest), block, dtype=np.int64)), pa.array(np.concatenate([words, rest]).view(np.int64)), pa.array(np.concatenate([n.astype(np.int64), np.zeros(len(rest), np.int64)]))], names=["block", "word", "n"]
+        )
+
+    at, held, lots, others = None, 0, [], []
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        learn = batch.column(2).to_numpy(zero_copy_only=False)
+        for first, end, data, offsets in slices(batch.column(1)):
+            hashes, bounds = word_hashes(data, offsets)
+            edges = [first, *(first + 1 + np.flatnonzero(np.diff(blocks[first:end]))).tolist(), end]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if blocks[a] != at or held >= _HELD:
+                    if held:
+                        yield out(at, lots, others)
+                    at, held, lots, others = int(blocks[a]), 0, [], []
+                part = hashes[bounds[a - first] : bounds[b - first]]
+                use = np.repeat(learn[a:b], np.diff(bounds[a - first : b - first + 1]))
+                lots.append(part[use])
+                others.append(np.unique(part[~use]))
+                held += len(part)
+    if held:
+        yield out(at, lots, others)
+
+
 class Lookup:
     """Number of a hash in a sorted list, or a default."""
 
@@ -179,13 +203,10 @@ class Core:
     n_classes: int
 
 
-def fit_core(training: DataFrame, core: int, rare: int, classes: int) -> tuple[Core, int, int]:
-    """(core, words, texts) of ``training`` (one column of text)."""
-    listed = small_batches(training).mapInArrow(_frequent(rare), "kind long, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("kind"), F.desc("n"), "word").limit(core + 2).toArrow().to_pydict()
-    totals = {k: n for k, n in zip(listed["kind"], listed["n"], strict=True) if k}
-    words = np.array([w for k, w in zip(listed["kind"], listed["word"], strict=True) if not k], dtype=np.int64).view(np.uint64)
+def fit_core(training: DataFrame, words: np.ndarray, classes: int) -> Core:
+    """Classes of the core ``words`` (most frequent first) by their neighbours in ``training`` (one column of text)."""
     size = len(words) + 2
-    pairs = training.mapInArrow(_neighbours(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = small_batches(training).mapInArrow(_neighbours(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size * size)
     table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     table = table.reshape(size, size)
@@ -195,64 +216,68 @@ def fit_core(training: DataFrame, core: int, rare: int, classes: int) -> tuple[C
     b = member.T @ table @ member + 0.5
     left = np.log(b[:, :classes] / b[:, :classes].sum(axis=1, keepdims=True))
     right = np.log(b[:classes] / b[:classes].sum(axis=1, keepdims=True)).T
-    return Core(words, of, np.ascontiguousarray(left, np.float32), np.ascontiguousarray(right, np.float32), classes), totals.get(2, 0), totals.get(1, 0)
+    return Core(words, of, np.round(left * _UNIT).astype(np.int64), np.round(right * _UNIT).astype(np.int64), classes)
 
 
-def _block_words(core: Core):
-    """A block's rows (text, learn) to (block, word, n, class): each word with its training count and proposed class."""
-    k = core.n_classes
+def _around(core: Core):
+    """Training texts to (word, place, n): how often a word that isn't in the core stands between two classes (place: both in one number)."""
+    k = core.n_classes + 2
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Lookup(core.words)
-        class_of = core.classes.astype(np.int16)
-        learn = rows["learn"].combine_chunks().to_numpy(zero_copy_only=False)
-        lots, kinds, unseen, texts = [], [], [], []
-        for first, end, data, offsets in slices(rows["text"]):
-            hashes, bounds = word_hashes(data, offsets)
-            use = np.repeat(learn[first:end], np.diff(bounds))
-            unseen.append(np.unique(hashes[~use]))
-            texts.append(np.diff(bounds)[learn[first:end]])
-            lots.append(hashes[use])
-            kinds.append(class_of[number(lots[-1], len(core.words))])
-        hashes = np.concatenate(lots) if lots else np.zeros(0, np.uint64)
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate(texts))]).astype(np.int64) if texts else np.zeros(1, np.int64)
-        around = _bounded(np.concatenate(kinds) if kinds else np.zeros(0, np.int16), bounds, k + 1)
-        del lots, kinds
-        place = np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
-        place += np.arange(len(hashes))
-        after = around[place + 1]
-        place -= 1
-        before = around[place]
-        del place, around
-        order = np.argsort(hashes, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])) if len(hashes) else np.zeros(0, np.int64)
-        words = hashes[order][starts]
-        ends = np.concatenate([starts[1:], [len(hashes)]]).astype(np.int64)
-        counts = ends - starts
-        proposed = np.zeros(len(words), dtype=np.int64)
-        at = 0
-        while at < len(words):  # lots of about 100,000 tokens, whole words
-            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + 100_000, "right")))
-            total = np.zeros((stop - at, k))
-            for a in range(starts[at], ends[stop - 1], 100_000):  # a very frequent word in parts
-                b = min(a + 100_000, ends[stop - 1])
-                here = order[a:b]
-                inside = np.searchsorted(starts[at:stop], np.arange(a, b), "right") - 1
-                first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-                total[inside[first]] += np.add.reduceat(core.left[before[here]] + core.right[after[here]], first, axis=0)
-            proposed[at:stop] = total.argmax(axis=1)
-            at = stop
-        fixed = number(words, -1)
-        proposed = np.where(fixed >= 0, core.classes[fixed], proposed)
-        other = np.setdiff1d(np.unique(np.concatenate(unseen)) if unseen else words, words)
-        return pa.table(
-            {
-                "block": np.full(len(words) + len(other), key[0].as_py(), dtype=np.int64),
-                "word": np.concatenate([words.view(np.int64), other.view(np.int64)]),
-                "n": np.concatenate([counts, np.zeros(len(other), np.int64)]),
-                "class": np.concatenate([proposed, np.full(len(other), -1)]).astype(np.int32),
-            }
-        )
+        class_of = core.classes.astype(np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            words, places = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.lexsort([places, words])
+            words, places = words[order], places[order]
+            starts = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (places[1:] != places[:-1])]))
+            counts = np.diff(np.append(starts, len(words)))
+            return pa.RecordBatch.from_arrays([pa.array(words[starts].view(np.int64)), pa.array(places[starts]), pa.array(counts.astype(np.int32))], names=["word", "place", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                hashes, bounds = word_hashes(data, offsets)
+                which = number(hashes, len(core.words))
+                s = _bounded(class_of[which], bounds, k - 1)
+                at = 1 + np.arange(len(hashes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                rare = which == len(core.words)
+                held.append((hashes[rare], (s[at - 1] * k + s[at + 1])[rare].astype(np.int32)))
+                n += int(rare.sum())
+                if n >= _HELD:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    return run
+
+
+def _suited(core: Core):
+    """(word, place, n) in the order of words to (word, class): the class that a word's neighbours suit best."""
+    k = core.n_classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None  # a word may go on in the next batch
+        for batch in batches:
+            words, places, n = (batch.column(i).to_numpy() for i in range(3))
+            for a in range(0, len(words), 100_000):
+                w, p, c = words[a : a + 100_000], places[a : a + 100_000], n[a : a + 100_000].astype(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                sums = np.add.reduceat((core.left[p // k] + core.right[p % k]) * c[:, None], starts, axis=0)
+                found = w[starts]
+                if last is not None:
+                    if found[0] == last:
+                        sums[0] += total
+                    else:
+                        found, sums = np.concatenate([[last], found]), np.concatenate([total[None], sums])
+                last, total = int(found[-1]), sums[-1]
+                if len(found) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:-1]), pa.array(sums[:-1].argmax(axis=1).astype(np.int32))], names=["word", "class"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([int(total.argmax())], pa.int32())], names=["word", "class"])
 
     return run
 
@@ -323,28 +348,28 @@ def _scorer(model: ClassModel):
 
 
 def score_texts(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", *, core: int = CORE, rare: int = RARE, classes: int = CLASSES, mix: float | None = None, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", *, core: int = CORE, classes: int = CLASSES, mix: float | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score; the model learns where ``learn`` holds."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    fitted, n_words, n_texts = fit_core(named.where("learn").select("text"), core, rare, classes)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocked = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block_bytes)))))
-
-    found = blocked.groupBy("block").applyInArrow(_block_words(fitted), "block long, word long, n long, class int")
-    by_word = Window.partitionBy("word")
-    voted = (
-        found.repartition("word")
-        .withColumn("votes", F.sum("n").over(Window.partitionBy("word", "class")))
-        .withColumn("total", F.sum("n").over(by_word))
-        .withColumn("chosen", F.max(F.when(F.col("class") >= 0, F.struct("votes", (-F.col("class")).alias("c")))).over(by_word))
-        .withColumn("first", F.row_number().over(by_word.orderBy("class", "block")) == 1)
-        .select("block", "word", F.col("total").alias("n"), F.coalesce(-F.col("chosen.c"), F.lit(-1)).alias("class"), "first")
-    )
-    words = stored(voted, "lm-words")
-    here = words.where("n > 0").select("block", "word", "n", "class")
-    summed = words.where("first and n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    types = dict(named.dtypes)
+    # written, so that a row's block is the same in every pass
+    blocked = stored(small_batches(named).mapInArrow(_dealt(block_bytes), f"block long, doc_id {types['doc_id']}, text string, learn boolean"), "lm-texts")
+    in_blocks = stored(small_batches(blocked.select("block", "text", "learn")).mapInArrow(_listed, "block long, word long, n long"), "lm-lists")
+    counts = stored(in_blocks.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    n_texts = blocked.where("learn").count()
+    n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counts.orderBy(F.desc("n"), "word").limit(core).toArrow()
+    training = blocked.where("learn").select("text")
+    fitted = fit_core(training, frequent["word"].to_numpy().view(np.uint64), classes)
+
+    around = training.mapInArrow(_around(fitted), "word long, place int, n int")
+    suited = around.repartition("word").sortWithinPartitions("word", "place").mapInArrow(_suited(fitted), "word long, class int")
+    # at most ``core`` rows
+    known = docs.sparkSession.createDataFrame(pa.table({"word": frequent["word"], "class": pa.array(fitted.classes[: frequent.num_rows].astype(np.int32))}), "word long, class int")
+    words = stored(counts.join(suited.unionByName(known), "word"), "lm-classes")
+    here = stored(joined_hot(in_blocks.select("block", "word"), words, ["word"], "inner"), "lm-words")
+    summed = words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
     class_counts = np.zeros(classes)
     pairs = np.zeros((classes + 2, classes + 2))
     distinct, once = 0, 0
@@ -362,6 +387,5 @@ def score_texts(
     if mix is None:  # words seen once tell how often a new one comes
         mix = min(0.99, max(0.5, 1 - once / max(1, n_words)))
     model = ClassModel(n_words + n_texts, distinct + (n_texts > 0), n_texts, pairs / pairs.sum(axis=1, keepdims=True), class_counts, mix)
-    types = dict(named.dtypes)
     scored = blocked.select("block", "doc_id", "text").groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_scorer(model), f"doc_id {types['doc_id']}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
