@@ -16,7 +16,9 @@ are known, only pivots whose members lie in several components go on: there,
 members outside of the largest component are compared with all others through
 an inverted index over those differences (sets x and y differ in
 |Ex| + |Ey| - 2 |Ex & Ey| elements, which is exact), in blocks, and at most one
-link for each member and component comes out. So all candidate pairs are
+link for each member and component comes out. A block is bounded; the number
+of blocks grows with the square of a pivot's unlinked members over ``block``
+squared, which is what deciding each such pair exactly takes here. So all candidate pairs are
 decided, and the components are those of the full link graph.
 
 What can be lost is a link whose signatures collide in too few coordinates; at
@@ -26,8 +28,9 @@ if no other path joins the two documents. Shingles are known by 64-bit hashes.
 Defined results: null, empty and blank texts have no shingles and link with
 nothing (component: their own id); a text of fewer words than a shingle is one
 shingle; rows that repeat an id are separate documents; a null id never names
-a component unless no member has an id; an empty table gives no rows; other
-columns are not read.
+a component unless no member has an id; very long texts are taken whole, in
+slices; of kept rows of one group the one of the least text hash stays; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
