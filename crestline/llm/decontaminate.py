@@ -10,18 +10,24 @@ window of ``window`` words (the whole item if it is shorter) agrees in at least
 The two default masks find every window of 12 words or more that qualifies:
 among 16 words with at most three substitutions two neighbouring runs have
 seven or more matching words together, and these hold either five in a row or
-three, a gap and two (the tests try all patterns). Items of fewer than 12 words
-can be missed when two of their words are replaced in the worst places.
-
-The benchmark is small next to the corpus, so its hashes and texts are
-broadcast when their measured size is below ``broadcast_bytes``; beyond it the
-same joins shuffle. Of a document only hashes enter the join, and only those
-that hit leave it.
+three, a gap and two (the tests try all patterns). A shorter item that
+tolerates s substitutions is cut into s + 1 runs, one of which is whole in any
+overlap, and each run is a seed at its place; items of three and four words must
+match whole. Items of fewer than ``least_words`` words are too common to tell a leak.
+
+The seeds of all items also set bits of a map whose size is bounded; it goes to
+the scan as one value, and only hashes whose bit is set leave the row. The
+benchmark is small next to the corpus, so its seeds and texts are broadcast when
+their measured bytes are below ``broadcast_bytes``; beyond it the same joins
+shuffle. Of a document, the words beside an item go into the comparison, not the
+whole text.
 
 Defined results: null and empty texts have no words and match nothing, as do
-items of fewer than five words; rows that repeat an id are judged one by one
-and reported once for each id and item (their best overlap); null ids are kept as
-an id of their own; other columns are not read.
+items of fewer than ``least_words`` words; rows that repeat an id are judged one
+by one by their texts and reported once for each id, text and item (their best
+overlap; of equally good ones the one with most equal words, then the first in
+the text); null ids are kept as an id of their own; very long texts are searched
+whole; other columns are not read; an empty table or benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +40,12 @@ from .common import packed, stored
 MASKS = ("11111", "111011")
 WINDOW = 16
 PERCENT = 80
+LEAST_WORDS = 3
+#: Items from this length on are found by the masks.
+MASKED_WORDS = 12
 BROADCAST_BYTES = 8 << 20
+#: Bits of the map of item seeds: 16 for each seed, between these.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 
 
 def words(text: Column) -> Column:
@@ -43,30 +54,69 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def runs(n_words: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(place, length) of the runs of a short item, one of which every tolerated overlap leaves whole."""
+    parts = n_words - -(-n_words * percent // 100) + 1
+    ends = [n_words * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _seed(hashes: Column, mask: str, at: Column) -> Column:
+    return F.xxhash64(F.lit(mask), *[F.get(hashes, at + i) for i, c in enumerate(mask) if c == "1"])
+
+
 def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
     """Array of (at, hash) of all masked places; ``hashes`` is an array of word hashes."""
 
-    def one(number: int, mask: str) -> Column:
-        picked = [i for i, c in enumerate(mask) if c == "1"]
+    def one(mask: str) -> Column:
         last = F.size(hashes) - len(mask)
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda p: F.struct(p.alias("at"), F.xxhash64(F.lit(number), *[F.get(hashes, p + i) for i in picked]).alias("hash")))
+        return F.transform(places, lambda p: F.struct(p.alias("at"), _seed(hashes, mask, p).alias("hash")))
+
+    return F.concat(*[one(m) for m in masks])
+
 
-    return F.concat(*[one(i, m) for i, m in enumerate(masks)])
+def item_seeds_of(hashes: Column, masks: tuple[str, ...], percent: int, least_words: int) -> Column:
+    """The seeds of an item, by its length."""
+    found = F.when(F.size(hashes) >= MASKED_WORDS, seeds(hashes, masks))
+    for n in range(least_words, MASKED_WORDS):
+        short = [F.struct(F.lit(at).alias("at"), _seed(hashes, "1" * length, F.lit(at)).alias("hash")) for at, length in runs(n, percent)]
+        found = found.when(F.size(hashes) == n, F.array(*short))
+    return found
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def _small(rows: DataFrame, row_bytes: int, most: int) -> DataFrame:
+def _bytes(rows: DataFrame) -> int:
+    """Measured size of a written table: its numbers, strings and arrays."""
+    size = F.lit(16)
+    for f in rows.schema:
+        kind = f.dataType.typeName()
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if kind in ("string", "binary") else F.coalesce(8 * F.size(f.name), F.lit(0)) if kind == "array" else F.lit(8))
+    return rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
     """``rows`` (a written table) marked for broadcast if its measured size is below ``most``; else dealt anew for a shuffle join."""
-    return F.broadcast(rows) if rows.count() * row_bytes <= most else rows.hint("rebalance")
+    return F.broadcast(rows) if _bytes(rows) <= most else rows.hint("rebalance")
+
+
+def _bit_map(item_seeds: DataFrame, bits: int) -> Column:
+    """A constant array of ``bits`` / 64 numbers in which each seed's bit is set; at most MOST_BITS / 8 bytes pass through the driver."""
+    place = F.pmod(F.col("hash"), F.lit(bits))
+    set_ = item_seeds.select(F.floor(place / 64).alias("id"), (place % 64).cast("int").alias("bit")).distinct().groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
+    words = [0] * (bits // 64)
+    for r in set_.collect():
+        words[r["id"]] = r["word"]
+    # folded into one constant when the query is optimised
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *,
-    masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES,
+    masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT, least_words: int = LEAST_WORDS, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Confirmed overlaps, one row for each document and item (its best).
 
@@ -75,31 +125,42 @@ def leaks(
     matched (equal places over the whole item), best (equal places in the best
     window), needed.
     """
-    shortest = min(m.count("1") for m in masks)
-    items = stored(
-        _hashed(benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words"))).where(F.size("words") >= shortest).select(F.monotonically_increasing_id().alias("item_key"), "item_id", F.col("hashes").alias("item_hashes")),
-        "leak-items",
-    )
-    item_seeds = stored(items.select("item_key", F.explode(seeds(F.col("item_hashes"), masks)).alias("s")).select("item_key", F.col("s.at").alias("item_at"), F.col("s.hash").alias("hash")), "leak-seeds")
-    longest = items.agg(F.coalesce(F.max(F.size("item_hashes")), F.lit(0))).first()[0]
+    words_of = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words")).where(F.size("words") >= least_words)
+    items = stored(_hashed(words_of).select(F.monotonically_increasing_id().alias("item_key"), "item_id", F.col("hashes").alias("item_hashes"), F.size("hashes").alias("item_words")), "leak-items")
+    item_seeds = stored(items.select("item_key", "item_words", F.explode(item_seeds_of(F.col("item_hashes"), masks, percent, least_words)).alias("s")).select("item_key", "item_words", F.col("s.at").alias("item_at"), F.col("s.hash").alias("hash")), "leak-seeds")
+    lengths = {r[0] for r in items.select(F.least("item_words", F.lit(MASKED_WORDS))).distinct().collect()}
+    # the masks that some item's seeds have
+    asked = (*(masks if MASKED_WORDS in lengths else ()), *sorted({"1" * length for n in lengths if n < MASKED_WORDS for _, length in runs(n, percent)}))
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * item_seeds.count()):
+        bits *= 2
+    known = _bit_map(item_seeds, bits)
+    place = lambda h: F.pmod(h, F.lit(bits))
+    is_set = lambda h: F.getbit(F.get(known, F.floor(place(h) / 64).cast("int")), (place(h) % 64).cast("int")) == 1
+    kept = F.filter(seeds(F.col("hashes"), asked or masks), lambda s: is_set(s["hash"]))
     hits = stored(
-        _hashed(named.withColumn("words", words(F.col("text")))).select("doc_id", "text_hash", F.explode(seeds(F.col("hashes"), masks)).alias("s"))
+        _hashed(named.withColumn("words", words(F.col("text")))).select("doc_id", "text_hash", F.explode(kept).alias("s"))
         .select("doc_id", "text_hash", F.col("s.at").alias("doc_at"), F.col("s.hash").alias("hash"))
-        .join(_small(item_seeds, 32, broadcast_bytes), "hash", "inner")
-        .select("doc_id", "text_hash", "item_key", (F.col("doc_at") - F.col("item_at")).alias("doc_word"))
+        .join(_small(item_seeds, broadcast_bytes), "hash", "inner")
+        .select("doc_id", "text_hash", "item_key", "item_words", (F.col("doc_at") - F.col("item_at")).alias("doc_word"))
         .distinct(),
         "leak-hits",
     )
     # the words of a document are looked at again only if it was hit
     hit_docs = stored(hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leak-docs")
-    hit_rows = named.join(_small(hit_docs, 32, broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "inner").dropDuplicates(["_id", "_hash"])
+    hit_rows = named.join(_small(hit_docs, broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "inner").dropDuplicates(["_id", "_hash"])
     found = _hashed(hit_rows.withColumn("words", words(F.col("text")))).select("_id", "_hash", "hashes")
-    laid = hits.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "inner").join(_small(items, 8 * longest + 32, broadcast_bytes), "item_key", "inner")
-
-    place = F.sequence(F.lit(0), F.size("item_hashes") - 1)
-    equal = F.transform(place, lambda i: F.coalesce((F.get("hashes", F.col("doc_word") + i) == F.get("item_hashes", i)).cast("int"), F.lit(0)))
+    # of the document only the words beside the item go on
+    first = F.greatest(F.col("doc_word"), F.lit(0))
+    beside = F.slice("hashes", first + 1, F.greatest(F.lit(0), F.col("item_words") + F.least(F.col("doc_word"), F.lit(0))))
+    windows = hits.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "inner").select("doc_id", "text_hash", "item_key", "doc_word", beside.alias("beside"))
+    laid = windows.join(_small(items, broadcast_bytes), "item_key", "inner")
+
+    each = F.sequence(F.lit(0), F.size("item_hashes") - 1)
+    ahead = F.greatest(-F.col("doc_word"), F.lit(0))
+    equal = F.transform(each, lambda i: F.coalesce((F.get("beside", i - ahead) == F.get("item_hashes", i)).cast("int"), F.lit(0)))
     width = F.least(F.lit(window), F.size("item_hashes"))
 
     def total(values: Column) -> Column:
@@ -121,5 +182,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a confirmed overlap, with all their columns."""
     found = stored(leaks(docs, benchmark, **options).select("doc_id", "text_hash").distinct(), "leak-found")
     keyed = packed(docs, id=F.col(options.get("id_col", "doc_id")), hash=F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit(""))))
-    small = _small(found, 32, options.get("broadcast_bytes", BROADCAST_BYTES))
+    small = _small(found, options.get("broadcast_bytes", BROADCAST_BYTES))
     return keyed.join(small, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")
