@@ -15,9 +15,7 @@ tolerates s substitutions is cut into s + 1 runs, one of which is whole in any
 overlap, and each run is a seed at its place; items of three and four words must
 match whole. Items of fewer than ``least_words`` words are too common to tell a leak.
 
-The seeds of all items also set bits of a map whose size is bounded; it goes to
-the scan as one value, and only hashes whose bit is set leave the row. The
-benchmark is small next to the corpus, so its seeds and texts are broadcast when
+The benchmark is small next to the corpus, so its seeds and texts are broadcast when
 their measured bytes are below ``broadcast_bytes``; beyond it the same joins
 shuffle. Of a document, the words beside an item go into the comparison, not the
 whole text.
@@ -44,8 +42,6 @@ LEAST_WORDS = 3
 #: Items from this length on are found by the masks.
 MASKED_WORDS = 12
 BROADCAST_BYTES = 8 << 20
-#: Bits of the map of item seeds: 16 for each seed, between these.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 
 
 def words(text: Column) -> Column:
@@ -103,17 +99,6 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if _bytes(rows) <= most else rows.hint("rebalance")
 
 
-def _bit_map(item_seeds: DataFrame, bits: int) -> Column:
-    """A constant array of ``bits`` / 64 numbers in which each seed's bit is set; at most MOST_BITS / 8 bytes pass through the driver."""
-    place = F.pmod(F.col("hash"), F.lit(bits))
-    set_ = item_seeds.select(F.floor(place / 64).alias("id"), (place % 64).cast("int").alias("bit")).distinct().groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
-    words = [0] * (bits // 64)
-    for r in set_.collect():
-        words[r["id"]] = r["word"]
-    # folded into one constant when the query is optimised
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *,
     masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT, least_words: int = LEAST_WORDS, broadcast_bytes: int = BROADCAST_BYTES,
@@ -133,15 +118,8 @@ def leaks(
     asked = (*(masks if MASKED_WORDS in lengths else ()), *sorted({"1" * length for n in lengths if n < MASKED_WORDS for _, length in runs(n, percent)}))
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, 16 * item_seeds.count()):
-        bits *= 2
-    known = _bit_map(item_seeds, bits)
-    place = lambda h: F.pmod(h, F.lit(bits))
-    is_set = lambda h: F.getbit(F.get(known, F.floor(place(h) / 64).cast("int")), (place(h) % 64).cast("int")) == 1
-    kept = F.filter(seeds(F.col("hashes"), asked or masks), lambda s: is_set(s["hash"]))
     hits = stored(
-        _hashed(named.withColumn("words", words(F.col("text")))).select("doc_id", "text_hash", F.explode(kept).alias("s"))
+        _hashed(named.withColumn("words", words(F.col("text")))).select("doc_id", "text_hash", F.explode(seeds(F.col("hashes"), asked or masks)).alias("s"))
         .select("doc_id", "text_hash", F.col("s.at").alias("doc_at"), F.col("s.hash").alias("hash"))
         .join(_small(item_seeds, broadcast_bytes), "hash", "inner")
         .select("doc_id", "text_hash", "item_key", "item_words", (F.col("doc_at") - F.col("item_at")).alias("doc_word"))
