@@ -9,9 +9,9 @@ Training, all counts over all training texts:
 3. Every other word makes one exchange step by its neighbours in the whole
    corpus: what stands before and after it, by class, is summed up by word, and
    the word takes the class that suits these sums best.
-4. Every block meets the classes of just its own words; the class bigrams
-   of all training tokens are counted by them and summed up.
-5. Every block meets the counts and classes of just its own words, and its
+4. Every block meets the counts and classes of just its own words, once; what is
+   written of a text are the class and the count of each token.
+5. The class bigrams of all training tokens are summed up from these, and the
    texts are scored.
 
 Counts are whole numbers and likelihoods of classes are summed in fixed point,
@@ -282,20 +282,51 @@ def _suited(core: Core):
     return run
 
 
-def _class_bigrams(k: int):
-    """A block's training texts and its words with their voted classes to (pair, n): counts of class bigrams."""
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each text's part of an array of numbers as a binary value."""
+    ends = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, counts, bounds) of a batch of encoded texts."""
+    classes = np.frombuffer(b"".join(batch["classes"].to_pylist()), dtype=np.uint8)
+    counts = np.frombuffer(b"".join(batch["counts"].to_pylist()), dtype=np.int64)
+    lengths = pa.compute.binary_length(batch["classes"]).to_numpy(zero_copy_only=False)
+    return classes, counts, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _encoded(k: int):
+    """A block's texts and its words to (doc_id, learn, classes, counts): each token's class, ``k`` for an unknown word, and training count."""
 
     def run(key: tuple, rows: pa.Table, words: pa.Table) -> pa.Table:
-        number = Lookup(words["word"].to_numpy().view(np.uint64))
-        of = words["class"].to_numpy().astype(np.int16)
-        total = np.zeros((k + 2) ** 2, dtype=np.int64)
+        known = words["word"].to_numpy().view(np.uint64)
+        number = Lookup(known)
+        # one more word at the end: unknown
+        of = np.concatenate([words["class"].to_numpy(), [k]]).astype(np.uint8)
+        count = np.concatenate([words["n"].to_numpy(), [0]]).astype(np.int64)
+        out = {"classes": [], "counts": []}
         for _, _, data, offsets in slices(rows["text"]):
             hashes, bounds = word_hashes(data, offsets)
-            # every training word has a class
-            s = _bounded(of[number(hashes, -1)], bounds, k + 1).astype(np.int32)
+            w = number(hashes, len(known))
+            out["classes"].append(_packed(of[w], bounds))
+            out["counts"].append(_packed(count[w], bounds))
+        return pa.table({"doc_id": rows["doc_id"], "learn": rows["learn"], **{c: pa.chunked_array(v, pa.binary()) for c, v in out.items()}})
+
+    return run
+
+
+def _class_bigrams(k: int):
+    """Encoded training texts to (pair, n): counts of class bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 2) ** 2, dtype=np.int64)
+        for batch in batches:
+            classes, _, bounds = _unpacked(batch)
+            s = _bounded(classes.astype(np.int32), bounds, k + 1)
             total += np.bincount(s[:-1] * np.int32(k + 2) + s[1:], minlength=(k + 2) ** 2)
         at = np.flatnonzero(total)
-        return pa.table({"pair": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
     return run
 
@@ -313,36 +344,28 @@ class ClassModel:
 def _scorer(model: ClassModel):
     k = len(model.class_counts)
 
-    def run(key: tuple, rows: pa.Table, words: pa.Table) -> pa.Table:
-        known = words["word"].to_numpy().view(np.uint64)
-        number = Lookup(known)
-        # one more word at the end: unknown
-        count = np.concatenate([words["n"].to_numpy(), [0]]).astype(np.float64)
-        of = np.concatenate([words["class"].to_numpy(), [k]]).astype(np.int64)
-        of[count == 0] = k
-        emitted = np.where(count > 0, count / np.maximum(1, np.concatenate([model.class_counts, [1.0]])[of]), 0.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uniform = model.n_tokens + model.n_words + 1
-        base_end = np.log10((model.n_texts + 1) / uniform)
-        base = np.log10((count + 1) / uniform)
-        out = {"doc_id": rows["doc_id"], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for _, _, data, offsets in slices(rows["text"]):
-            hashes, bounds = word_hashes(data, offsets)
-            w = number(hashes, len(known))
+        end = (model.n_texts + 1) / uniform
+        of_class = np.concatenate([np.maximum(1, model.class_counts), [1.0]])
+        for batch in batches:
+            classes, counts, bounds = _unpacked(batch)
             n = np.diff(bounds)
-            seen = np.concatenate([[0], np.cumsum(count[w] > 0)])
-            s = _bounded(of[w], bounds, k + 1)
+            base = (counts + 1) / uniform
+            seen = np.concatenate([[0], np.cumsum(counts > 0)])
+            s = _bounded(classes.astype(np.int64), bounds, k + 1)
             emission = np.ones(len(s))
-            floor = np.full(len(s), (model.n_texts + 1) / uniform)
-            place = 1 + np.arange(len(w)) + np.repeat(np.arange(len(n)), n)
-            emission[place] = emitted[w]
-            floor[place] = (count[w] + 1) / uniform
+            floor = np.full(len(s), end)
+            place = 1 + np.arange(len(classes)) + np.repeat(np.arange(len(n)), n)
+            emission[place] = counts / of_class[classes]
+            floor[place] = base
             p = np.log10(model.mix * model.transitions[s[:-1], s[1:]] * emission[1:] + (1 - model.mix) * floor[1:])
             ends = np.cumsum(n + 1)
-            out["n_tokens"].append(n + 1)
-            out["n_known"].append(seen[bounds[1:]] - seen[bounds[:-1]] + (model.n_texts > 0))
-            out["base_score"].append(np.add.reduceat(np.append(base[w], 0.0), np.minimum(bounds[:-1], len(w))) * (n > 0) + base_end)
-            out["score"].append(np.add.reduceat(p, np.concatenate([[0], ends[:-1]])))
-        return pa.table({c: v if c == "doc_id" else np.concatenate(v) if v else np.zeros(0) for c, v in out.items()})
+            base_score = np.add.reduceat(np.append(np.log10(base), 0.0), np.minimum(bounds[:-1], len(classes))) * (n > 0) + np.log10(end)
+            score = np.add.reduceat(p, np.concatenate([[0], ends[:-1]])) if len(n) else p
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(n + 1), pa.array(seen[bounds[1:]] - seen[bounds[:-1]] + (model.n_texts > 0)), pa.array(base_score), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
+            )
 
     return run
 
@@ -377,8 +400,10 @@ def score_texts(
         class_counts[r["class"]] = r["n"]
         distinct += r["distinct"]
         once += r["once"]
-    # by the voted classes, which are known only now: the same ones that score
-    bigrams = blocked.where("learn").select("block", "text").groupBy("block").cogroup(here.select("block", "word", "class").groupBy("block")).applyInArrow(_class_bigrams(classes), "pair long, n long")
+    # texts meet their words once; classes and counts of their tokens serve both passes that follow
+    met = blocked.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_encoded(classes), f"doc_id {types['doc_id']}, learn boolean, classes binary, counts binary")
+    encoded = stored(met, "lm-encoded")
+    bigrams = small_batches(encoded.where("learn").select("classes", "counts")).mapInArrow(_class_bigrams(classes), "pair long, n long")
     for r in bigrams.groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[divmod(r["pair"], classes + 2)] = r["n"]
     pairs[classes] = pairs.sum(axis=0)
@@ -387,5 +412,5 @@ def score_texts(
     if mix is None:  # words seen once tell how often a new one comes
         mix = min(0.99, max(0.5, 1 - once / max(1, n_words)))
     model = ClassModel(n_words + n_texts, distinct + (n_texts > 0), n_texts, pairs / pairs.sum(axis=1, keepdims=True), class_counts, mix)
-    scored = blocked.select("block", "doc_id", "text").groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_scorer(model), f"doc_id {types['doc_id']}, n_tokens long, n_known long, base_score double, score double")
+    scored = encoded.select("doc_id", "classes", "counts").mapInArrow(_scorer(model), f"doc_id {types['doc_id']}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
