@@ -115,3 +115,9 @@ def test_path_ends_by_brute_force(spark, k):
         four = {(a, d) for a, b in two for c, d in two if b == c}
         want = sorted(((a, b, a + b) for a, b in four), key=lambda t: (t[2], t))[:k]
         assert [tuple(x) for x in ranked.path_projected(from_rows(spark, ["src", "dst"], edges), 4, k).collect()] == want
+
+
+def test_union_makes_few_pairs(spark, made):
+    want = sorted(((a, b, a + b) for a in range(8) for b in range(8)), key=lambda t: (t[2], t))[:20]
+    assert [tuple(x) for x in ranked.union_2_4(hubs(spark, 60, 40), 20).collect()] == want
+    assert max(made) <= 9 * 60 * 40
